@@ -7,7 +7,7 @@ from types import ModuleType
 
 from clipweave.catalog import registry
 
-MODULES = ["timelines"]
+MODULES = ["timelines", "voices"]
 
 
 def load() -> ModuleType:

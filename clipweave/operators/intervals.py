@@ -14,6 +14,7 @@ from clipweave.plans.overlap import overlap_join, overlap_ms, point_join
 from clipweave.plans.scan import (
     filled,
     neighbour,
+    plan_cells,
     prefix_scan,
     running_max,
     running_min,
@@ -70,11 +71,14 @@ def islands(ranges: DataFrame, join_gap: int = 0, *, keys: tuple[str, ...] = ("i
     """Merge ranges whose distance is at most ``join_gap`` (below it if ``strict``)."""
     k = list(keys)
     valid = ranges.filter("end_ms > start_ms").select(*k, "start_ms", "end_ms")
-    seen = prefix_scan(valid, k, ["start_ms", "end_ms"], _reach=running_max(F.col("end_ms"), False))
+    cells = plan_cells(valid, k, F.col("start_ms"))
+    seen = prefix_scan(valid, k, ["start_ms", "end_ms"], cells=cells,
+                       _reach=running_max(F.col("end_ms"), False))
     distance = F.col("start_ms") - F.col("_reach")
     opens = distance >= join_gap if strict else distance > join_gap
     heads = seen.filter(F.col("_reach").isNull() | opens).select(*k, "start_ms", "_reach")
-    heads = prefix_scan(heads, k, ["start_ms"], reverse=True, end_ms=neighbour(F.col("_reach")))
+    heads = prefix_scan(heads, k, ["start_ms"], cells=cells, reverse=True,
+                        end_ms=neighbour(F.col("_reach")))
     last = valid.groupBy(*k).agg(F.max("end_ms").alias("_last"))
     return heads.join(last, k).select(
         *k, "start_ms", F.coalesce("end_ms", "_last").alias("end_ms")
@@ -212,9 +216,10 @@ def label_cover(segments: DataFrame, turns: DataFrame) -> DataFrame:
         .unionByName(point(asked, "end_ms", 2, 0, F.col("seg_id"), none))
     )
     keys = ["item_id", "label"]
-    run = prefix_scan(points, keys, ["t", "k"], open_=running_sum(F.col("n")),
+    cells = plan_cells(points, keys, F.col("t"))
+    run = prefix_scan(points, keys, ["t", "k"], cells=cells, open_=running_sum(F.col("n")),
                       mass=running_sum(F.col("w")))
-    run = prefix_scan(run, keys, ["t", "k"], reverse=True, next_=running_min(F.col("begin")))
+    run = prefix_scan(run, keys, ["t", "k"], cells=cells, reverse=True, next_=running_min(F.col("begin")))
     area = F.col("t") * F.col("open_") - F.col("mass")
     sign = F.when(F.col("k") == 2, 1).otherwise(-1)
     at_start = F.when(F.col("k") == 1, F.when(F.col("open_") > 0, F.col("t")).otherwise(F.col("next_")))
@@ -265,11 +270,12 @@ def label_runs(pieces: DataFrame, keys: list[str], max_gap: int | None = None,
                order: tuple[str, ...] = ("start_ms", "end_ms")) -> DataFrame:
     """Merge neighbouring pieces of one label (optionally only across small gaps)."""
     o = list(order)
-    prev = prefix_scan(pieces, keys, o, _p=neighbour(F.col("label")), _pe=neighbour(F.col("end_ms")))
+    cells = plan_cells(pieces, keys, F.col(o[0]))
+    prev = prefix_scan(pieces, keys, o, cells=cells, _p=neighbour(F.col("label")), _pe=neighbour(F.col("end_ms")))
     opens = F.col("_p").isNull() | (F.col("label") != F.col("_p"))
     if max_gap is not None:
         opens = opens | (F.col("start_ms") - F.col("_pe") > max_gap)
-    run = prefix_scan(prev, keys, o, part=running_sum(opens.cast("long")))
+    run = prefix_scan(prev, keys, o, cells=cells, part=running_sum(opens.cast("long")))
     return run.groupBy(*keys, "part").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
@@ -501,9 +507,10 @@ def silence_islands(frames: DataFrame, items: DataFrame, *, hop: int = 20, frame
                     merge_gap: int = 120, min_silence: int = 300) -> DataFrame:
     """Silent frames (item_id, frame_no, silent) to merged silences, clipped to the item."""
     quiet = frames.filter("silent").select("item_id", "frame_no")
-    runs = prefix_scan(quiet, ["item_id"], ["frame_no"], _p=neighbour(F.col("frame_no")))
+    cells = plan_cells(quiet, ["item_id"], F.col("frame_no"))
+    runs = prefix_scan(quiet, ["item_id"], ["frame_no"], cells=cells, _p=neighbour(F.col("frame_no")))
     heads = runs.filter(F.col("_p").isNull() | (F.col("frame_no") > F.col("_p") + 1))
-    heads = prefix_scan(heads, ["item_id"], ["frame_no"], reverse=True, _stop=neighbour(F.col("_p")))
+    heads = prefix_scan(heads, ["item_id"], ["frame_no"], cells=cells, reverse=True, _stop=neighbour(F.col("_p")))
     last = quiet.groupBy("item_id").agg(F.max("frame_no").alias("_last"))
     raw = heads.join(last, "item_id").select(
         "item_id",
