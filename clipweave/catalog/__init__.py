@@ -7,7 +7,7 @@ from types import ModuleType
 
 from clipweave.catalog import registry
 
-MODULES = ["timelines", "voices"]
+MODULES = ["timelines", "voices", "clipsets"]
 
 
 def load() -> ModuleType:
