@@ -68,21 +68,28 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voice: the middle half of every event."""
     return (
         events(spark, sf_dir)
-        .filter("event_id % 3 = 0 AND dur_ms > 0")
-        .select("item_id", F.col("t_ms").alias("start_ms"),
-                (F.col("t_ms") + F.col("dur_ms")).alias("end_ms"), F.col("event_id").alias("ord"))
+        .filter("dur_ms > 3")
+        .select("item_id", (F.col("t_ms") + F.floor(F.col("dur_ms") / 4)).alias("start_ms"),
+                (F.col("t_ms") + F.floor(F.col("dur_ms") * 3 / 4)).alias("end_ms"),
+                F.col("event_id").alias("ord"))
     )
 
 
 def silences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short pauses: every fourth event, a tenth of its length."""
-    return (
-        events(spark, sf_dir)
-        .filter("event_id % 4 = 0")
-        .select("item_id", F.col("t_ms").alias("start_ms"),
-                (F.col("t_ms") + F.floor(F.col("dur_ms") / 10)).alias("end_ms"))
+    """Short pauses: the first tenth of every event."""
+    return events(spark, sf_dir).select(
+        "item_id", F.col("t_ms").alias("start_ms"),
+        (F.col("t_ms") + F.floor(F.col("dur_ms") / 10)).alias("end_ms"),
+    )
+
+
+def sparse_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that end after a third of their time, which leaves uncovered voice."""
+    return segments(spark, sf_dir).withColumn(
+        "end_ms", F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / 3)
     )
 
 
@@ -144,11 +151,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known characters: one centroid per label from the first hundred vectors."""
+    """Known characters: one centroid per label."""
     from clipweave.operators.vectors import centroids
 
-    first = vectors(spark, sf_dir).filter("vec_id < 100")
-    made = centroids(first, ["label"], "emb", normalise=True)
+    made = centroids(vectors(spark, sf_dir), ["label"], "emb", normalise=True)
     return made.select(
         F.lit(0).alias("project_id"),
         F.col("label").alias("ord"),
@@ -187,12 +193,12 @@ turns AS (
   WHERE end_ms IS NOT NULL)"""
 SPEECH = """
 speech AS (
-  SELECT item_id, t_ms AS start_ms, t_ms + dur_ms AS end_ms, event_id AS ord
-  FROM ev WHERE event_id % 3 = 0 AND dur_ms > 0)"""
+  SELECT item_id, t_ms + dur_ms // 4 AS start_ms, t_ms + dur_ms * 3 // 4 AS end_ms, event_id AS ord
+  FROM ev WHERE dur_ms > 3)"""
 SILENCES = """
-silences AS (
-  SELECT item_id, t_ms AS start_ms, t_ms + dur_ms // 10 AS end_ms
-  FROM ev WHERE event_id % 4 = 0)"""
+silences AS (SELECT item_id, t_ms AS start_ms, t_ms + dur_ms // 10 AS end_ms FROM ev)"""
+SPARSE = """
+sparse AS (SELECT * REPLACE (start_ms + (end_ms - start_ms) // 3 AS end_ms) FROM segments)"""
 SAMPLES = """
 samples AS (
   SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY t_ms, event_id) - 1 AS idx,
@@ -220,7 +226,7 @@ vdims AS (
   FROM vectors)"""
 POOL = """
 pool_means AS (
-  SELECT label, d, avg(v) AS m, count(*) AS n FROM vdims WHERE vec_id < 100 GROUP BY 1, 2),
+  SELECT label, d, avg(v) AS m, count(*) AS n FROM vdims GROUP BY 1, 2),
 pool AS (
   SELECT label AS ord, 'c' || label AS char_id, any_value(n)::INT AS emb_count,
          list_transform(list(m ORDER BY d),

@@ -215,22 +215,17 @@ def modulo_shard(spark: SparkSession, d: str) -> DataFrame:
     return S.shard(docs, 3, 7)
 
 
-@query("view_order", "SRT-1", oracle=A.sql(A.EV, A.SEGMENTS, """
-byd AS (SELECT seg_id, row_number() OVER (ORDER BY end_ms - start_ms DESC, item_id, ord) AS p FROM segments),
-byq AS (SELECT seg_id, row_number() OVER (ORDER BY coalesce(q, -1) DESC, item_id, ord) AS p FROM segments),
-byc AS (SELECT seg_id, row_number() OVER (ORDER BY character_id NULLS LAST, start_ms, item_id, ord) AS p FROM segments)""", body="""
-SELECT 'duration' AS sort, seg_id, p FROM byd WHERE p <= 50 UNION ALL SELECT 'score', seg_id, p FROM byq WHERE p <= 50
-UNION ALL SELECT 'character', seg_id, p FROM byc WHERE p <= 50"""))
+@query("view_order", "SRT-1", oracle=A.sql(A.EV, A.SEGMENTS, body="""
+SELECT seg_id, row_number() OVER (ORDER BY end_ms - start_ms DESC, ord) AS by_duration,
+       row_number() OVER (ORDER BY coalesce(q, -1) DESC, ord) AS by_score,
+       row_number() OVER (ORDER BY character_id NULLS LAST, start_ms, ord) AS by_character FROM segments"""))
 def view_order(spark: SparkSession, d: str) -> DataFrame:
-    """First page of fifty rows in three orders."""
-    from clipweave.plans.scan import number_all, union_all
-
+    """Place of every segment in three orders."""
     seg = A.segments(spark, d).withColumn("character_name", F.col("character_id"))
-    pages = []
-    for by, up in (("duration", False), ("score", False), ("character", True)):
-        page = S.view_order(seg, by, up).limit(50).withColumn("_p", F.monotonically_increasing_id())
-        pages.append(number_all(page.select(F.lit(by).alias("sort"), "seg_id", "_p"), ["_p"], "p").drop("_p"))
-    return union_all(pages)
+    out = seg.select("seg_id")
+    for name, by, up in (("by_duration", "duration", False), ("by_score", "score", False), ("by_character", "character", True)):
+        out = out.join(S.view_positions(seg, by, up).select("seg_id", F.col("position").alias(name)), "seg_id")
+    return out
 
 
 @query("reference_clip", "SRT-3", oracle=A.sql(A.EV, A.SEGMENTS, """
@@ -339,13 +334,13 @@ def safe_names(spark: SparkSession, d: str) -> DataFrame:
         "page_id", X.safe_name(F.col("url")).alias("dir"), X.safe_name(F.col("url"), 48).alias("exp"))
 
 
-@query("clip_file_names", "DST-4", oracle=A.sql(A.EV, A.SEGMENTS, body="""
-SELECT seg_id, 'item' || item_id || '_' || printf('%02d-%04.1f', start_ms // 60000, (start_ms % 60000) / 1000.0) || '-' ||
-       printf('%02d-%04.1f', end_ms // 60000, (end_ms % 60000) / 1000.0) || '.wav' AS name FROM segments
-WHERE start_ms % 100 <> 50 AND end_ms % 100 <> 50"""))
+_STAMP = """printf('%02d-%04.1f', {c} // 60000, ((({c} % 60000) // 100) + CASE WHEN {c} % 100 > 50 OR ({c} % 100 = 50 AND ({c} // 100) % 2 = 1) THEN 1 ELSE 0 END) / 10.0)"""
+
+
+@query("clip_file_names", "DST-4", oracle=A.sql(A.EV, A.SEGMENTS, body=f"""
+SELECT seg_id, 'item' || item_id || '_' || {_STAMP.format(c="start_ms")} || '-' || {_STAMP.format(c="end_ms")} || '.wav' AS name FROM segments"""))
 def clip_file_names(spark: SparkSession, d: str) -> DataFrame:
-    seg = A.segments(spark, d).filter("start_ms % 100 <> 50 AND end_ms % 100 <> 50")  # exact ties round differently
-    return seg.select("seg_id", X.clip_file_name(F.concat(F.lit("item"), F.col("item_id"))).alias("name"))
+    return A.segments(spark, d).select("seg_id", X.clip_file_name(F.concat(F.lit("item"), F.col("item_id"))).alias("name"))
 
 
 @query("oversample", "SET-6", oracle=A.sql(A.CLIPS, """

@@ -14,7 +14,7 @@ from clipweave.plans.nearest import best_matches
 
 COS = "list_dot_product({a}, {b}) / ((sqrt(list_dot_product({a}, {a})) + 1e-9) * (sqrt(list_dot_product({b}, {b})) + 1e-9))"
 QUERYSET = """
-asked AS (SELECT vec_id, item_id, ord, label, emb FROM vectors WHERE vec_id >= 100)"""
+asked AS (SELECT vec_id, item_id, ord, label, emb FROM vectors)"""
 SIMS = """
 sims AS (
   SELECT a.vec_id, p.char_id, p.ord AS pord, """ + COS.format(a="a.emb", b="p.emb") + """ AS sim
@@ -26,7 +26,7 @@ BASE = (A.VECTORS, A.VDIMS, A.POOL)
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return A.vectors(spark, d).filter("vec_id >= 100").withColumn("project_id", F.lit(0))
+    return A.vectors(spark, d).withColumn("project_id", F.lit(0))
 
 
 @query("cosine_top2", "EMB-1", "MAT-1", oracle=A.sql(*BASE, QUERYSET, SIMS, body="""
@@ -266,7 +266,7 @@ def identify_turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     """Per item (as project) and label: the label's mean vector of the queries."""
-    made = V.centroids(A.vectors(spark, d).filter("vec_id >= 100"), ["item_id", "label"])
+    made = V.centroids(A.vectors(spark, d), ["item_id", "label"])
     return made.select(
         F.col("item_id").alias("project_id"), F.col("label").alias("ord"),
         F.concat(F.lit("speaker"), F.col("label").cast("string")).alias("label"),
@@ -298,7 +298,7 @@ def pool_match_weak(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FROZEN = """
-lmean AS (SELECT item_id, label, d, avg(v) AS m FROM vdims WHERE vec_id >= 100 GROUP BY 1, 2, 3),
+lmean AS (SELECT item_id, label, d, avg(v) AS m FROM vdims GROUP BY 1, 2, 3),
 lvec AS (SELECT item_id, label, list(m ORDER BY d) AS emb FROM lmean GROUP BY 1, 2),
 fs AS (SELECT l.item_id AS project_id, l.label, p.char_id, """ + COS.format(a="l.emb", b="p.emb") + """ AS sim,
               p.ord AS pord FROM lvec l CROSS JOIN pool p WHERE p.ord % 2 = 0),
@@ -316,13 +316,13 @@ def pool_match_frozen(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("absorb_mean", "MAT-3", oracle=A.sql(*BASE, """
-smp AS (SELECT label, d, avg(v) AS m, count(*) AS k FROM vdims WHERE vec_id >= 100 AND vec_id % 3 = 0 GROUP BY 1, 2),
+smp AS (SELECT label, d, avg(v) AS m, count(*) AS k FROM vdims GROUP BY 1, 2),
 pd AS (SELECT ord AS label, char_id, emb_count, unnest(range(1, len(emb) + 1)) AS d, unnest(emb) AS o FROM pool)""", body="""
 SELECT char_id, d - 1 AS d, (emb_count + coalesce(k, 0))::INT AS emb_count,
        round(CASE WHEN k IS NULL THEN o ELSE (o * emb_count + m * k) / (emb_count + k) END, 5) AS value
 FROM pd LEFT JOIN smp USING (label, d)"""))
 def absorb_mean(spark: SparkSession, d: str) -> DataFrame:
-    samples = _asked(spark, d).filter("vec_id % 3 = 0").withColumn("char_id", F.concat(F.lit("c"), F.col("label").cast("string")))
+    samples = _asked(spark, d).withColumn("char_id", F.concat(F.lit("c"), F.col("label").cast("string")))
     out = V.absorb_samples(A.pool(spark, d), samples, ["project_id"])
     return out.select("char_id", F.posexplode("emb").alias("d", "v"), "emb_count").select(
         "char_id", "d", "emb_count", F.round("v", 5).alias("value")
@@ -367,7 +367,7 @@ def rescan_counters(spark: SparkSession, d: str) -> DataFrame:
 @query("feedback_job", "MAT-5", "UPD-9")
 def feedback_job(spark: SparkSession, d: str) -> DataFrame:
     seg = _voiced_segments(spark, d)
-    samples = seg.filter("vec_id % 40 = 1").select("project_id", "item_id", "seg_id", "character_id", "emb")
+    samples = seg.filter("locked AND character_id IS NOT NULL").select("project_id", "item_id", "seg_id", "character_id", "emb")
     out, _ = V.feedback(seg, A.pool(spark, d), samples, ["project_id"])
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
@@ -378,7 +378,7 @@ def gap_scan(spark: SparkSession, d: str) -> DataFrame:
     from clipweave.operators import intervals as I
     from clipweave.plans.gapscan import gap_candidates
 
-    sparse = A.segments(spark, d).filter("seg_id % 4 <> 3")
+    sparse = A.sparse_segments(spark, d)
     speech = A.speech(spark, d).drop("ord")
     cands = gap_candidates(sparse, A.items(spark, d).withColumn("project_id", F.col("item_id") % 8)
                            .withColumn("created", F.col("item_id")), speech)
@@ -402,13 +402,13 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY item_
 
 
 @query("gap_scan_candidates", "MAT-6", oracle=A.sql(
-    A.EV, A.ITEMS, A.SEGMENTS, A.SPEECH, "sparse AS (SELECT * FROM segments WHERE seg_id % 4 <> 3)",
+    A.EV, A.ITEMS, A.SEGMENTS, A.SPEECH, A.SPARSE,
     __import__("clipweave.catalog.timelines", fromlist=["_GAPS"])._GAPS.format(src="sparse"), _GAPCAND, body="""
 SELECT project_id, ord, item_id, start_ms, end_ms FROM numbered WHERE ord <= 40"""))
 def gap_scan_candidates(spark: SparkSession, d: str) -> DataFrame:
     from clipweave.plans.gapscan import gap_candidates
 
-    sparse = A.segments(spark, d).filter("seg_id % 4 <> 3")
+    sparse = A.sparse_segments(spark, d)
     items = A.items(spark, d).withColumn("project_id", F.col("item_id") % 8).withColumn("created", F.col("item_id"))
     return gap_candidates(sparse, items, A.speech(spark, d).drop("ord")).select(
         "project_id", "ord", "item_id", "start_ms", "end_ms"

@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.functions.text import is_blank, strip
-from clipweave.plans.scan import number_all, number_rows
+from clipweave.plans.scan import (
+    number_all,
+    number_ranked,
+    number_rows,
+    plan_cells,
+    prefix_scan,
+    running_sum,
+)
 
 MIN_MS, MAX_MS = 1000, 15_000
+EDGE = 1 << 60
 
 # Language codes.
 LANGUAGES = {"JP": "ja", "ZH": "zh", "EN": "en", "JA": "ja", "JA-JP": "ja"}
@@ -83,6 +91,25 @@ def view_order(rows: DataFrame, by: str, ascending: bool = True) -> DataFrame:
     return rows.orderBy(way(F.col("start_ms")), "item_id", "ord")
 
 
+def view_positions(rows: DataFrame, by: str, ascending: bool = True) -> DataFrame:
+    """Place of every row in the same order, for paging: adds ``position``."""
+    one = rows.withColumn("_one", F.lit(0))
+    if by == "character":
+        # rank of the name, unassigned last; then the start time inside one name
+        known = plan_cells(one, ["_one"], F.lit(0)).subset(rows.sparkSession)
+        names = one.filter("character_name IS NOT NULL").select("_one", "character_name").distinct()
+        ranked = number_rows(names, ["_one"], ["character_name"], "_rank", cells=known).drop("_one")
+        one = one.join(ranked, "character_name", "left").withColumn("_rank", F.coalesce("_rank", F.lit(EDGE)))
+        sizes = one.groupBy("_one", "_rank").agg(F.count(F.lit(1)).alias("_m"))
+        ahead = prefix_scan(sizes, ["_one"], ["_rank"], cells=known, _a=running_sum(F.col("_m"), False))
+        placed = number_rows(one, ["_rank"], ["start_ms", "ord"], "_p", cells=known)
+        out = placed.join(ahead.select("_rank", F.coalesce("_a", F.lit(0)).alias("_a")), "_rank")
+        return out.withColumn("position", F.col("_a") + F.col("_p")).drop("_one", "_rank", "_a", "_p")
+    value = {"duration": length_ms(), "score": F.coalesce(F.col("q"), F.lit(-1.0)), "time": F.col("start_ms")}[by]
+    one = one.withColumn("_rank", value if ascending else -value)
+    return number_ranked(one, ["_one"], "_rank", "ord", "position").drop("_one", "_rank")
+
+
 def role_clips(rows: DataFrame) -> DataFrame:
     """Usable clips of named roles: text and at least half a second."""
     return rows.filter(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions.text import strip
 from clipweave.operators.segments import every_nth, skip_reason
-from clipweave.plans.scan import number_ranked, number_rows, prefix_scan, running_sum
+from clipweave.plans.scan import Cells, number_ranked, number_rows, plan_cells, prefix_scan, running_sum
 
 
 def safe_name(c: Column, limit: int = 64) -> Column:
@@ -17,11 +17,12 @@ def safe_name(c: Column, limit: int = 64) -> Column:
     return F.substring(F.when(clean == "", "speaker").otherwise(clean), 1, limit)
 
 
-def by_speaker(clips: DataFrame, default: str) -> DataFrame:
+def by_speaker(clips: DataFrame, default: str, known: Cells | None = None) -> DataFrame:
     """Default for blank speakers and ``speaker_no`` in order of first appearance."""
     named = clips.withColumn("speaker", F.coalesce(F.nullif(F.col("speaker"), F.lit("")), F.lit(default)))
     first = named.groupBy("speaker").agg(F.min("ord").alias("_f")).withColumn("_one", F.lit(0))
-    numbered = prefix_scan(first, ["_one"], ["_f"], speaker_no=running_sum(F.lit(1).cast("long")))
+    numbered = prefix_scan(first, ["_one"], ["_f"], cells=known,
+                           speaker_no=running_sum(F.lit(1).cast("long")))
     return named.join(numbered.select("speaker", "speaker_no"), "speaker")
 
 
@@ -33,9 +34,11 @@ def export_plan(clips: DataFrame, *, default_speaker: str = "speaker", per_speak
     The holdout counts every row of the speaker, also those skipped later; files are
     numbered per folder over exported rows only.
     """
-    grouped = by_speaker(clips, default_speaker)
+    counted = plan_cells(clips.select("speaker"), ["speaker"], F.lit(0))
+    known = counted.subset(clips.sparkSession)
+    grouped = by_speaker(clips, default_speaker, known)
     grouped = grouped.withColumn("_rank", -F.coalesce("score", F.lit(-1.0)))
-    ranked = number_ranked(grouped, ["speaker"], "_rank", "ord", "place")
+    ranked = number_ranked(grouped, ["speaker"], "_rank", "ord", "place", cells=known)
     n = every_nth(val_ratio)
     val = (F.col("place") % n == 0) if per_speaker and n else F.lit(False)
     planned = ranked.withColumn("reason", skip_reason(min_ms, min_score)).withColumn("is_val", val)
@@ -48,12 +51,16 @@ def export_plan(clips: DataFrame, *, default_speaker: str = "speaker", per_speak
     kept = planned.filter("reason IS NULL")
     # running number over speakers: rows of earlier speakers plus the place in the own one
     sizes = kept.groupBy("speaker_no").agg(F.count(F.lit(1)).alias("_m")).withColumn("_one", F.lit(0))
-    ahead = prefix_scan(sizes, ["_one"], ["speaker_no"], _ahead=running_sum(F.col("_m"), inclusive=False))
+    ahead = prefix_scan(sizes, ["_one"], ["speaker_no"], cells=known,
+                        _ahead=running_sum(F.col("_m"), inclusive=False))
     ahead = ahead.select("speaker_no", F.coalesce("_ahead", F.lit(0)).alias("_ahead"))
-    numbered = number_rows(kept, ["speaker_no"], ["place"], "_in_speaker")
+    numbered = number_rows(kept, ["speaker_no"], ["place"], "_in_speaker", cells=known)
     numbered = numbered.join(ahead, "speaker_no").withColumn("seq", F.col("_ahead") + F.col("_in_speaker") - 1)
-    # folders may be shared by speakers with equal safe names, so number along seq
-    numbered = number_rows(numbered, ["folder"], ["seq"], "file_no")
+    if per_speaker:
+        # folders may be shared by speakers with equal safe names, so number along seq
+        numbered = number_rows(numbered, ["folder"], ["seq"], "file_no", cells=known)
+    else:
+        numbered = numbered.withColumn("file_no", F.col("seq") + 1)
     path = F.concat(
         F.when(F.col("folder") == "", "").otherwise(F.concat(F.col("folder"), F.lit("/"))),
         F.lpad(F.col("file_no").cast("string"), F.greatest(F.lit(3), F.length(F.col("file_no").cast("string"))), F.lit("0")),
@@ -91,7 +98,7 @@ def clip_file_name(base: Column, ext: str = "wav") -> Column:
     def stamp(ms: Column) -> Column:
         ms = F.greatest(F.lit(0), ms)
         minutes = F.floor(ms / 60_000)
-        tenths = F.bround((ms - minutes * 60_000) / 1000, 1)
-        return F.format_string("%02d-%04.1f", minutes, tenths)
+        rest = F.bround(ms - minutes * 60_000, -2)  # whole tenths, ties to even
+        return F.format_string("%02d-%04.1f", minutes, rest / 1000)
 
     return F.concat(base, F.lit("_"), stamp(F.col("start_ms")), F.lit("-"), stamp(F.col("end_ms")), F.lit("." + ext))

@@ -17,9 +17,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from clipweave.session import ROWS_PER_CELL, setting
@@ -37,6 +36,16 @@ class Cells:
 
     keys: tuple[str, ...]
     table: DataFrame | None
+    total: int | None = None  # rows of the table that was counted
+
+    def subset(self, spark: SparkSession) -> Cells | None:
+        """Plan for any table made from some of the counted rows.
+
+        A table that fits one cell as a whole has no hot key, whatever it is grouped
+        by; otherwise None: count again.
+        """
+        small = self.total is not None and self.total <= setting(spark, "rowsPerCell", ROWS_PER_CELL)
+        return Cells(self.keys, None, self.total) if small else None
 
     def attach(self, df: DataFrame, at: Column) -> DataFrame:
         """Add ``_cell`` (0-based, non-decreasing in ``at``; -1 for normal keys)."""
@@ -58,12 +67,12 @@ def plan_cells(df: DataFrame, keys: list[str], at: Column, rows: int | None = No
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
     if not largest or largest <= rows:
-        return Cells(tuple(keys), None)
+        return Cells(tuple(keys), None, total or 0)
     limit = max(rows, total // MAX_CELLS)
     hot = counts.filter(F.col("_n") > limit)
     steps = min(MAX_CELLS, -(-largest // limit))
     if steps < 2:
-        return Cells(tuple(keys), None)
+        return Cells(tuple(keys), None, total)
     points = [i / steps for i in range(1, steps)]
     bounds = (
         df.withColumn("_at", at.cast("double"))
@@ -79,7 +88,7 @@ def plan_cells(df: DataFrame, keys: list[str], at: Column, rows: int | None = No
         ).alias("_bounds"),
     )
     kept = bounds.collect()  # at most MAX_CELLS keys, about 2 * MAX_CELLS numbers
-    return Cells(tuple(keys), spark.createDataFrame(kept, bounds.schema))
+    return Cells(tuple(keys), spark.createDataFrame(kept, bounds.schema), total)
 
 
 @dataclass(frozen=True)
@@ -227,14 +236,14 @@ def number_rows(
     )
 
 
-def number_all(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def number_all(df: DataFrame, order: list[str], name: str, cells: Cells | None = None) -> DataFrame:
     """1-based numbering of the whole table; cut along the first order column."""
     one = df.withColumn("_all_rows", F.lit(0))
-    return number_rows(one, ["_all_rows"], order, name).drop("_all_rows")
+    return number_rows(one, ["_all_rows"], order, name, cells=cells).drop("_all_rows")
 
 
 def number_ranked(
-    df: DataFrame, keys: list[str], rank: str, order: str, name: str
+    df: DataFrame, keys: list[str], rank: str, order: str, name: str, cells: Cells | None = None
 ) -> DataFrame:
     """Number rows per key by (``rank`` ascending, ``order`` ascending).
 
@@ -242,6 +251,10 @@ def number_ranked(
     the count of rows in better ranks, taken from the aggregated (key, rank) table,
     plus the place among rows of equal rank, cut along the unique ``order``.
     """
+    if cells is None:
+        cells = plan_cells(df, keys, F.lit(0))
+    if cells.table is None:
+        return number_rows(df, keys, [rank, order], name, cells=cells)
     ranks = df.groupBy(*keys, rank).agg(F.count(F.lit(1)).alias("_m"))
     ahead = prefix_scan(
         ranks, keys, [rank], _ahead=running_sum(F.col("_m"), inclusive=False)
@@ -257,5 +270,3 @@ def number_ranked(
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
-
-STATE = T.StringType()
