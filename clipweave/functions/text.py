@@ -1,11 +1,13 @@
-"""Text rules as Column builders: all of them stay inside generated code."""
+"""Text rules as Column builders; only the run folds need a vectorised Python helper."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Punctuation sets.
 CUT_PUNCT = "。！？…、，,.!?;；:：—～~"
@@ -282,91 +284,71 @@ def script_runs(c: Column, script: str, tag: str, other: str) -> Column:
     )
 
 
-_RUNS = "array<struct<lang:string,text:string>>"
-
-
-def _append_run(acc: Column, lang: Column, text: Column) -> Column:
-    """Add a run, or extend the last one when the language is the same."""
-    last = F.get(acc, F.size(acc) - 1)
-    return F.when(
-        (F.size(acc) > 0) & (last["lang"] == lang),
-        F.array_append(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.struct(lang.alias("lang"), F.concat(last["text"], text).alias("text")),
-        ),
-    ).otherwise(F.array_append(acc, F.struct(lang.alias("lang"), text.alias("text"))))
-
-
-def merge_runs(runs: Column) -> Column:
-    """Join neighbouring runs of one language."""
-    return F.aggregate(
-        runs, F.array().cast(_RUNS), lambda acc, x: _append_run(acc, x["lang"], x["text"])
-    )
-
-
 _STOPS = ",.!?，。！？"
 
+_RUN_TYPE = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())]))
 
-def inherit_digits(runs: Column) -> Column:
-    """Give digit runs the language of a neighbour.
 
-    A digit run at the very start takes the next run's language, at the end the one
-    before; between two languages the punctuation around it, then the length of the
-    neighbours decides. The run before is the *resolved* one, hence a fold.
-    """
+def _joined(runs: Iterable[tuple[str, str]]) -> list[list]:
+    """Neighbouring runs of one language as one: [lang, list of parts]."""
+    out: list[list] = []
+    for lang, part in runs:
+        if out and out[-1][0] == lang:
+            out[-1][1].append(part)
+        else:
+            out.append([lang, [part]])
+    return out
 
-    def has(chars: str, one: Column) -> Column:
-        return F.lit(chars).contains(one)
-
-    def fold(r: Column) -> Column:
-        n = F.size(r)
-
-        def language(acc: Column, i: Column) -> Column:
-            cur, nxt, last = F.get(r, i), F.get(r, i + 1), F.get(acc, F.size(acc) - 1)
-            have = F.size(acc) > 0
-            between = (
-                F.when(last["lang"] == nxt["lang"], last["lang"])
-                .when(has(_STOPS, F.right(last["text"], F.lit(1))), nxt["lang"])
-                .when(has(_STOPS, F.left(nxt["text"], F.lit(1))), last["lang"])
-                .when(has("。.", F.right(cur["text"], F.lit(1))), last["lang"])
-                .when(F.length(last["text"]) >= F.length(nxt["text"]), last["lang"])
-                .otherwise(nxt["lang"])
-            )
-            return F.when(
-                cur["lang"] == "digit",
-                F.when(have & (i == n - 1), last["lang"])
-                .when(~have & (i < n - 1), F.get(r, F.lit(1))["lang"])
-                .when(have, between)
-                .otherwise("zh"),
-            ).otherwise(cur["lang"])
-
-        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(
-            steps,
-            F.array().cast(_RUNS),
-            lambda acc, i: _append_run(acc, language(acc, i), F.get(r, i)["text"]),
-        )
 
-    return let(runs, fold)
+def _inherit(runs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Digit runs, then unknown runs, take the language of a resolved neighbour.
 
+    A digit run at the start takes the next language, at the end the one before;
+    between two languages the punctuation around it decides, then the longer side.
+    """
+    done: list[list] = []  # [lang, parts, length]
+    last = len(runs) - 1
+    for i, (lang, part) in enumerate(runs):
+        if lang == "digit":
+            after = runs[i + 1] if i < last else None
+            if not done:
+                lang = after[0] if after else "zh"
+            elif after is None or done[-1][0] == after[0]:
+                lang = done[-1][0]
+            elif done[-1][1][-1][-1] in _STOPS:
+                lang = after[0]
+            elif after[1][0] in _STOPS or part[-1] in "。." or done[-1][2] >= len(after[1]):
+                lang = done[-1][0]
+            else:
+                lang = after[0]
+        if done and done[-1][0] == lang:
+            done[-1][1].append(part)
+            done[-1][2] += len(part)
+        else:
+            done.append([lang, [part], len(part)])
+    known = [d[0] for d in done]
+    for i, lang in enumerate(known):
+        if lang == "x":
+            known[i] = known[i - 1] if i else (known[1] if len(known) > 1 else "zh")
+    return [(g[0], "".join(g[1])) for g in _joined(zip(known, ("".join(d[1]) for d in done), strict=True))]
+
+
+@F.pandas_udf(_RUN_TYPE)
+def merge_runs(runs: pd.Series) -> pd.Series:
+    """Join neighbouring runs of one language."""
+    return runs.map(lambda rs: [
+        {"lang": g[0], "text": "".join(g[1])} for g in _joined((r["lang"], r["text"]) for r in rs)])
 
-def inherit_unknown(runs: Column) -> Column:
-    """Unknown runs ('x') take the language before them, else after, else Chinese."""
 
-    def fold(r: Column) -> Column:
-        def language(acc: Column, x: Column) -> Column:
-            return F.when(
-                x["lang"] == "x",
-                F.when(F.size(acc) > 0, F.get(acc, F.size(acc) - 1)["lang"])
-                .when(F.size(r) > 1, F.get(r, F.lit(1))["lang"])
-                .otherwise("zh"),
-            ).otherwise(x["lang"])
+@F.pandas_udf(_RUN_TYPE)
+def resolve_runs(runs: pd.Series) -> pd.Series:
+    """Merge runs and give digit and unknown runs the language of their neighbours."""
 
-        return F.aggregate(
-            r, F.array().cast(_RUNS), lambda acc, x: _append_run(acc, language(acc, x), x["text"])
-        )
+    def one(rs: Iterable[dict]) -> list[dict]:
+        merged = [(g[0], "".join(g[1])) for g in _joined((r["lang"], r["text"]) for r in rs)]
+        return [{"lang": a, "text": b} for a, b in _inherit(merged)]
 
-    return let(runs, fold)
+    return runs.map(one)
 
 
 def default_runs(c: Column) -> Column:
