@@ -7,7 +7,7 @@ from types import ModuleType
 
 from clipweave.catalog import registry
 
-MODULES = ["timelines", "voices", "clipsets", "states", "sounds", "trainsets", "writings"]
+MODULES = ["timelines", "voices", "clipsets", "states", "sounds", "trainsets", "writings", "streams"]
 
 
 def load() -> ModuleType:

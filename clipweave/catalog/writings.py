@@ -178,7 +178,7 @@ def script_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("language_runs", "TXT-12", "TXT-11")
 def language_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = T.resolve_runs(T.default_runs(F.translate("text", "eaon", "あカ漢한")))
+    runs = T.language_runs(F.translate("text", "eaon", "あカ漢한"))
     r = _docs(spark, d).select("doc_id", F.explode(runs).alias("r"))
     return r.groupBy("doc_id", "r.lang").agg(F.count(F.lit(1)).alias("runs"), F.sum(F.length("r.text")).alias("chars"))
 
@@ -279,14 +279,13 @@ def ass_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("manifest_parse", "SRC-5", "SNK-2", oracle=A.sql(A.CLIPS, f"""
 c AS (SELECT *, replace({TRIM.format(c="text")}, '|', ' ') AS t FROM clips)""", body="""
-SELECT ord::VARCHAR || '.wav' AS path, speaker, language, md5(t) AS digest FROM c WHERE NOT contains(t, chr(10)) AND t <> ''"""))
+SELECT ord::VARCHAR || '.wav' AS path, speaker, language, md5("""+ TRIM.format(c="split_part(t, chr(10), 1)") + """) AS digest FROM c WHERE t <> ''"""))
 def manifest_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Manifest written to text files and read back; multi-line texts break into rejects."""
+    """Manifest written to text files and read back; further lines of a text are rejects."""
     path = scratch_path(spark, "manifest")
     plan = A.clips(spark, d).filter(~T.is_blank(F.col("text"))).select(
         F.concat(F.col("ord").cast("string"), F.lit(".wav")).alias("path"), "speaker", "language", "text",
         F.col("ord").alias("seq"), F.lit(None).cast("string").alias("reason"))
-    plan = plan.filter(~T.strip(F.col("text")).contains("\n"))
     M.write_manifest(plan, path)
     good, _ = M.read_manifest(spark, path)
     return good.select("path", "speaker", "language", F.md5("text").alias("digest"))
@@ -304,13 +303,14 @@ def manifest_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("speaker_manifests", "SNK-3", oracle=A.sql(A.CLIPS, __import__("clipweave.catalog.clipsets", fromlist=["_SPK"])._SPK, body="""
-SELECT speaker AS speaker_dir, 'list' AS split, count(*) AS n FROM kp WHERE NOT contains(text, chr(10)) GROUP BY 1
-UNION ALL SELECT speaker, 'val_list', count(*) FROM kp WHERE is_val AND NOT contains(text, chr(10)) GROUP BY 1"""))
+SELECT speaker AS speaker_dir, 'list' AS split, count(*) AS n FROM kp GROUP BY 1
+UNION ALL SELECT speaker, 'val_list', count(*) FROM kp WHERE is_val GROUP BY 1"""))
 def speaker_manifests(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "lists")
     plan = X.export_plan(A.clips(spark, d), per_speaker=True, val_ratio=0.2)
-    M.write_speaker_manifests(plan.filter(~F.col("text").contains("\n")), path)
-    return spark.read.text(path).groupBy("speaker_dir", "split").agg(F.count(F.lit(1)).alias("n"))
+    M.write_speaker_manifests(plan, path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.filter(F.size(F.split("value", r"\|")) == 4).groupBy("speaker_dir", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("phoneme_table", "SRC-6", oracle="""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -351,22 +353,27 @@ def resolve_runs(runs: pd.Series) -> pd.Series:
     return runs.map(one)
 
 
-def default_runs(c: Column) -> Column:
-    """Rule-based runs of a text: digits, kana, Hangul, English, CJK, unknown."""
-    parts = F.regexp_extract_all(
-        c,
-        F.lit(f"(?s)[0-9]+|[{KANA}]+|[{HANGUL}]+|[A-Za-z]+|[{CJK}]+|[^0-9{KANA}{HANGUL}A-Za-z{CJK}]+"),
-        F.lit(0),
-    )
-    kind = lambda x: (
-        F.when(x.rlike("^[0-9]"), "digit")
-        .when(x.rlike(f"^[{KANA}]"), "ja")
-        .when(x.rlike(f"^[{HANGUL}]"), "ko")
-        .when(x.rlike("^[A-Za-z]"), "en")
-        .when(x.rlike(f"^[{CJK}]"), "zh")
-        .otherwise("x")
-    )
-    return F.transform(parts, lambda x: F.struct(kind(x).alias("lang"), x.alias("text")))
+def _python_class(ranges: str) -> str:
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), ranges)
+
+
+_RULES = re.compile(
+    f"(?P<digit>[0-9]+)|(?P<ja>[{KANA}]+)|(?P<ko>[{HANGUL}]+)|(?P<en>[A-Za-z]+)|(?P<zh>[{_python_class(CJK)}]+)"
+    f"|(?P<x>[^0-9{KANA}{HANGUL}A-Za-z{_python_class(CJK)}]+)"
+)
+
+
+@F.arrow_udf(_RUN_TYPE)
+def language_runs(texts: pa.Array) -> pa.Array:
+    """Runs of a text by script rules, with digits and unknown runs resolved."""
+    offsets, langs, parts = [0], [], []
+    for t in texts.to_pylist():
+        for lang, part in _inherit([(m.lastgroup, m[0]) for m in _RULES.finditer(t or "")]):
+            langs.append(lang)
+            parts.append(part)
+        offsets.append(len(langs))
+    runs = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.string())], ["lang", "text"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)
 
 
 def pre_segment(c: Column, method: str = "cut5", lang: str = "zh") -> Column:

@@ -19,7 +19,7 @@ def parse_manifest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_manifest(spark.read.text(path))
+    return parse_manifest(spark.read.option("lineSep", "\n").text(path))
 
 
 def write_manifest(plan: DataFrame, path: str) -> None:

@@ -50,7 +50,7 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true")
     schema = "path string, ord long, start_ms long, end_ms long, text string"
     try:
-        whole = reader.option("wholetext", "true").text(path).withColumn("path", name)
+        whole = reader.text(path, wholetext=True).withColumn("path", name)
     except Exception as exc:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(exc):
             raise
