@@ -77,7 +77,9 @@ def ordered_fold(
     def fold_states(todo: DataFrame) -> DataFrame:
         rows = hot.join(todo.select(*spot), spot, "left_semi")
         return (
-            rows.groupBy(*spot).cogroup(todo.groupBy(*spot)).applyInPandas(only_state, state_schema)
+            rows.groupBy(*spot)
+            .cogroup(_fresh(todo).groupBy(*spot))
+            .applyInPandas(only_state, state_schema)
         )
 
     side = F.col("_cell").desc() if reverse else F.col("_cell").asc()
@@ -97,7 +99,7 @@ def ordered_fold(
         incoming = known["_in"].iloc[0] if len(known) else None
         return step(arrange(rows.drop(columns="_cell")), _text(incoming))[0][names]
 
-    parts = hot.groupBy(*spot).cogroup(states.groupBy(*spot)).applyInPandas(emit, out_schema)
+    parts = hot.groupBy(*spot).cogroup(_fresh(states).groupBy(*spot)).applyInPandas(emit, out_schema)
     result = folded.unionByName(parts)
     if finish is None:
         return result
@@ -110,5 +112,10 @@ def ordered_fold(
     return result.unionByName(final.groupBy(*keys).applyInPandas(close, out_schema))
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """Same rows under new column identities, so that both cogroup sides are told apart."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _text(value: object) -> str | None:
     return value if isinstance(value, str) else None
