@@ -216,7 +216,11 @@ def label_cover(segments: DataFrame, turns: DataFrame) -> DataFrame:
         .unionByName(point(asked, "end_ms", 2, 0, F.col("seg_id"), none))
     )
     keys = ["item_id", "label"]
-    cells = plan_cells(points, keys, F.col("t"))
+    n_turns = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
+    n_segs = segments.groupBy("item_id").agg(F.count(F.lit(1)).alias("_s"))
+    counts = n_turns.join(n_segs, "item_id", "left").select(
+        *keys, (F.col("_t") * 2 + F.coalesce("_s", F.lit(0)) * 2).alias("_n"))
+    cells = plan_cells(points, keys, F.col("t"), counts=counts)
     run = prefix_scan(points, keys, ["t", "k"], cells=cells, open_=running_sum(F.col("n")),
                       mass=running_sum(F.col("w")))
     run = prefix_scan(run, keys, ["t", "k"], cells=cells, reverse=True, next_=running_min(F.col("begin")))

@@ -320,20 +320,24 @@ def restore_order(current: DataFrame, gone: DataFrame) -> DataFrame:
     return out.withColumn("ord", F.col("_new") - 1).drop("_slot", "_side", "_r", "_new")
 
 
-def lineage(items: DataFrame, max_depth: int = 32) -> DataFrame:
+def lineage(items: DataFrame) -> DataFrame:
     """Root and depth of derived items (``derived_from``), by pointer doubling.
 
     After step k every row knows its ancestor 2^k levels up, so the number of joins is
-    the logarithm of the longest chain.
+    the logarithm of the longest chain. Cycles end after log2(rows) steps.
     """
+    from clipweave.session import cut
+
     hop = items.select("item_id", F.coalesce("derived_from", "item_id").alias("root"),
                        F.col("derived_from").isNotNull().cast("int").alias("depth"))
-    steps = max(1, max_depth.bit_length())
-    for _ in range(steps):
+    derived = items.filter("derived_from IS NOT NULL").select(F.col("item_id").alias("root"))
+    for _ in range(items.count().bit_length()):
+        if hop.join(derived, "root", "left_semi").limit(1).count() == 0:
+            break
         up = hop.select(F.col("item_id").alias("root"), F.col("root").alias("_next"), F.col("depth").alias("_d"))
-        hop = hop.join(up, "root", "left").select(
+        hop = cut(hop.join(up, "root", "left").select(
             "item_id", F.coalesce("_next", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")
-        )
+        ))
     return hop
 
 
@@ -425,21 +429,23 @@ def ordered_results(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return deps.join(ready, "task_id", "left_semi").join(up, "upstream").select("task_id", "place", "upstream", "result")
 
 
-def cascade_failures(tasks: DataFrame, deps: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Pending tasks downstream of a failed one fail too, level by level."""
+def cascade_failures(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """Pending tasks downstream of a failed one fail too, level by level.
+
+    Each round visits only tasks next to the newest failures; it ends when none is new,
+    also with cyclic dependencies.
+    """
     from clipweave.session import cut
 
     state = tasks.select("task_id", "status")
     failed = state.filter(F.col("status").isin("error", "cancelled", "interrupted")).select("task_id")
     known = deps.join(state.select(F.col("task_id").alias("upstream")), "upstream", "left_anti").select("task_id")
-    frontier = cut(failed.unionByName(known).distinct())
-    for _ in range(max_rounds):
-        hit = deps.join(frontier.select(F.col("task_id").alias("upstream")), "upstream", "left_semi").select("task_id")
-        hit = hit.join(frontier, "task_id", "left_anti").distinct()
-        hit = cut(hit.join(state.filter("status = 'pending'"), "task_id", "left_semi"))
-        if hit.limit(1).count() == 0:
-            break
-        frontier = cut(frontier.unionByName(hit))
-    mark = frontier.withColumn("_f", F.lit(True))
+    newest = dead = cut(failed.unionByName(known).distinct())
+    pending = state.filter("status = 'pending'").select("task_id")
+    while newest.limit(1).count():
+        hit = deps.join(newest.select(F.col("task_id").alias("upstream")), "upstream", "left_semi").select("task_id").distinct()
+        newest = cut(hit.join(pending, "task_id", "left_semi").join(dead, "task_id", "left_anti"))
+        dead = cut(dead.unionByName(newest))
+    mark = dead.withColumn("_f", F.lit(True))
     return tasks.join(mark, "task_id", "left").withColumn(
         "status", F.when(F.col("_f") & (F.col("status") == "pending"), "error").otherwise(F.col("status"))).drop("_f")

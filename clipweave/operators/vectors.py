@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from clipweave.functions.vectors import EPS, cosine, minus, unit
 from clipweave.plans.fold import ordered_fold
+from clipweave.plans.frames import plain_strings
 from clipweave.plans.nearest import best_matches
 from clipweave.plans.scan import neighbour, number_rows, prefix_scan, running_sum
 
@@ -142,7 +143,7 @@ def cluster_lines(rows: DataFrame, keys: list[str], *, exact_lines: int = EXACT_
         sums = np.stack(part["_mean"].to_list()) * n[:, None]
         out = part[[*keys, "_unit"]].copy()
         out["cluster"] = choose_clusters(sums, n, max_k, min_k, threshold, merge)
-        return out
+        return plain_strings(out)
 
     solved = summary.groupBy(*keys).applyInPandas(solve, schema)
     named = units.join(solved, [*keys, "_unit"]).drop("_unit", "emb")
@@ -525,7 +526,7 @@ def match_in_order(labels: DataFrame, pool: DataFrame, *, mode: str, threshold:
             out.append((key[0], r.ord, r.label, target["id"] if target else None, how, best, None, None))
         out += [(key[0], None, None, c["id"], "pool", None, None if c["v"] is None else c["v"].tolist(), c["n"])
                 for c in known if c["moved"]]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _MOVES.split(", ")])
+        return plain_strings(pd.DataFrame(out, columns=[x.split()[0] for x in _MOVES.split(", ")]))
 
     return todo.groupBy("project_id").cogroup(some.groupBy("project_id")).applyInPandas(walk, _MOVES)
 

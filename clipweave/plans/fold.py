@@ -1,8 +1,8 @@
 """Ordered folds: a small state walks along the rows of one key.
 
 Some rules look at the *outcome* of the previous row (greedy merging, chained
-de-duplication, sequence smoothing). A key of normal size is folded in one Arrow
-group. A hot key is cut into cells; every cell is folded in parallel from the
+de-duplication, sequence smoothing). Keys of normal size are hashed to partitions,
+sorted there and streamed through the fold in Arrow batches. A hot key is cut into cells; every cell is folded in parallel from the
 state its left neighbour ended with, starting from a guess, and only the cells
 whose incoming state turned out different are folded again. The loop ends when
 all states agree, which is exactly the sequential result. States that forget
@@ -11,14 +11,16 @@ their past (all the rules here) settle in two or three rounds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from clipweave.plans.frames import plain_strings
 from clipweave.plans.scan import Cells, plan_cells
 from clipweave.session import cut
 
@@ -49,15 +51,39 @@ def ordered_fold(
     def arrange(rows: pd.DataFrame) -> pd.DataFrame:
         return rows.sort_values(order, ascending=not reverse, kind="stable").reset_index(drop=True)
 
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, state = step(arrange(rows), None)
-        if finish is not None:
-            out = pd.concat([out, finish(key, state)], ignore_index=True)
-        return out[names]
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Fold the sorted rows of a partition; a key may span several batches."""
+        key, state = None, None
+        for batch in batches:
+            made = []
+            if batch.empty:
+                continue
+            fresh = (batch[keys] != batch[keys].shift()).any(axis=1).cumsum().to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(fresh)) + 1), len(batch)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                rows = batch.iloc[lo:hi].reset_index(drop=True)
+                now = tuple(_plain(rows[c].iloc[0]) for c in keys)
+                if now != key:
+                    if key is not None and finish is not None:
+                        made.append(finish(key, state))
+                    key, state = now, None
+                out, state = step(rows, state)
+                made.append(out)
+            made = [m for m in made if len(m)]
+            if made:
+                yield plain_strings(pd.concat(made, ignore_index=True)[names])
+        if key is not None and finish is not None:
+            rest = finish(key, state)
+            if len(rest):
+                yield plain_strings(rest[names])
 
     celled = cells.attach(df, axis)
     normal = celled.filter("_cell < 0").drop("_cell")
-    folded = normal.groupBy(*keys).applyInPandas(whole, out_schema)
+    way = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+    folded = (
+        normal.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, *way)
+        .mapInPandas(stream, out_schema)
+    )
     if cells.table is None:
         return folded
 
@@ -72,7 +98,7 @@ def ordered_fold(
         made = states[spot].copy()
         incoming = states["_in"].iloc[0] if len(states) else None
         made["_out"] = step(arrange(rows.drop(columns="_cell")), _text(incoming))[1]
-        return made
+        return plain_strings(made)
 
     def fold_states(todo: DataFrame) -> DataFrame:
         rows = hot.join(todo.select(*spot), spot, "left_semi")
@@ -97,7 +123,7 @@ def ordered_fold(
 
     def emit(_key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         incoming = known["_in"].iloc[0] if len(known) else None
-        return step(arrange(rows.drop(columns="_cell")), _text(incoming))[0][names]
+        return plain_strings(step(arrange(rows.drop(columns="_cell")), _text(incoming))[0][names])
 
     parts = hot.groupBy(*spot).cogroup(_fresh(states).groupBy(*spot)).applyInPandas(emit, out_schema)
     result = folded.unionByName(parts)
@@ -107,7 +133,7 @@ def ordered_fold(
     final = states.groupBy(*keys).agg(last("_out", "_cell").alias("_out"))
 
     def close(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return finish(key, _text(rows["_out"].iloc[0]))[names]
+        return plain_strings(finish(key, _text(rows["_out"].iloc[0]))[names])
 
     return result.unionByName(final.groupBy(*keys).applyInPandas(close, out_schema))
 
@@ -117,5 +143,9 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def _plain(value: object) -> object:
+    return value.item() if hasattr(value, "item") else value
+
+
 def _text(value: object) -> str | None:
     return value if isinstance(value, str) else None

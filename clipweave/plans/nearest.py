@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipweave.functions.vectors import EPS
+from clipweave.plans.frames import plain_strings
 from clipweave.plans.scan import number_rows
 from clipweave.session import setting
 
@@ -108,7 +109,7 @@ def _shipped(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataF
             groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
             for key, part in groups:
                 ids, mat = known.get(key if isinstance(key, tuple) else (key,), ([], None))
-                yield _rank(part, ids, mat, k)
+                yield plain_strings(_rank(part, ids, mat, k))
 
     return rows.mapInPandas(rank, schema)
 
@@ -149,7 +150,7 @@ def _blocked(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataF
         right = right.sort_values("ord")
         left = left[left["_e"].notna()]
         if left.empty or right.empty:
-            return pd.DataFrame({"_rid": [], "ord": [], "char_id": [], "sim": [], "now": []})
+            return pd.DataFrame({"_rid": [], "ord": [], "char_id": [], "sim": [], "now": []}, dtype=object)
         sims = _similar(np.stack(left["_e"].to_list()), np.stack(right["emb"].to_list()))
         top = _leaders(sims, k)
         ids, ords = right["char_id"].astype(str).to_numpy(), right["ord"].to_numpy()
@@ -157,11 +158,11 @@ def _blocked(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataF
         at = [place.get(c) for c in left["_cur"]]
         now = [sims[i, j] if j is not None else np.nan for i, j in enumerate(at)]
         n = top.shape[1]
-        return pd.DataFrame({
+        return plain_strings(pd.DataFrame({
             "_rid": np.repeat(left["_rid"].to_numpy(), n), "ord": ords[top].ravel(),
             "char_id": ids[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel(),
             "now": np.repeat(now, n),
-        })
+        }))
 
     partial = placed.groupBy(*spot).cogroup(copies.groupBy(*spot)).applyInPandas(match, part_schema)
     best = F.struct(F.col("sim"), (-F.col("ord")).alias("o"), F.col("char_id"))

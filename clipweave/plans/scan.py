@@ -60,11 +60,18 @@ class Cells:
         )
 
 
-def plan_cells(df: DataFrame, keys: list[str], at: Column, rows: int | None = None) -> Cells:
-    """Count rows per key and choose split points for the keys that are too big."""
+def plan_cells(
+    df: DataFrame, keys: list[str], at: Column, rows: int | None = None, counts: DataFrame | None = None
+) -> Cells:
+    """Count rows per key and choose split points for the keys that are too big.
+
+    ``counts`` (keys, _n) replaces the count of ``df`` where it is known from smaller
+    tables.
+    """
     spark = df.sparkSession
     rows = rows or setting(spark, "rowsPerCell", ROWS_PER_CELL)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
     if not largest or largest <= rows:
         return Cells(tuple(keys), None, total or 0)
