@@ -45,12 +45,14 @@ def identify(cues: DataFrame, windows: DataFrame) -> Identified:
     Steps: trimmed mean per cue, item mean subtraction, clustering over the whole
     project, window votes, sequence smoothing, mixed-line test, turns.
     """
-    raw = V.trimmed_mean(windows, ["item_id", "ord"], "ws").select("item_id", "ord", "emb")
+    # each cut ends a costly stage whose rows several later steps read
+    raw = cut(V.trimmed_mean(windows, ["item_id", "ord"], "ws").select("item_id", "ord", "emb"))
     centred, moved = V.subtract_item_mean(raw, windows)
     timed = centred.join(cues.select("item_id", "ord", "start_ms", "end_ms"), ["item_id", "ord"])
     # clustering wants one running order over the project: item, then cue start
     placed = number_project(timed)
     named = V.cluster_lines(placed.withColumn("project_id", F.lit(0)), ["project_id"])
+    named = cut(named)
     named = number_by_appearance(named.select("item_id", F.col("cue").alias("ord"), F.col("ord").alias("seq"),
                                               "cluster", "emb"), [], "cluster", ["seq"], "num")
     named = cut(named.withColumn("label", F.concat(F.lit("speaker"), (F.col("num") + 1).cast("string"))))
@@ -61,8 +63,8 @@ def identify(cues: DataFrame, windows: DataFrame) -> Identified:
     pool = cents.select(F.col("label").alias("char_id"), "ord", F.col("centroid").alias("emb"))
     voted = best_matches(moved.join(named.select("item_id", "ord"), ["item_id", "ord"], "left_semi"),
                          pool, keys=[], k=1)
-    voted = voted.select("item_id", "ord", F.col("ws").alias("start_ms"), F.col("we").alias("end_ms"),
-                         F.get("matches", F.lit(0))["char_id"].alias("label"))
+    voted = cut(voted.select("item_id", "ord", F.col("ws").alias("start_ms"), F.col("we").alias("end_ms"),
+                             F.get("matches", F.lit(0))["char_id"].alias("label")))
     vote = V.majority(voted, ["item_id", "ord"], "label", "start_ms").select("item_id", "ord", "label")
     runs = label_runs(voted, ["item_id", "ord"], max_gap=375)
     lines = cues.select("item_id", "ord", "start_ms", "end_ms").join(vote, ["item_id", "ord"], "left").join(
