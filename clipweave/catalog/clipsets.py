@@ -119,8 +119,7 @@ SELECT count(CASE WHEN {BLANK.format(c="text")} AND NOT locked THEN 1 END) AS pe
        count(*) AS total FROM segments"""))
 def pending_transcription(spark: SparkSession, d: str) -> DataFrame:
     seg = A.segments(spark, d)
-    pending = S.pending_transcription(seg).agg(F.count(F.lit(1)).alias("pending"))
-    return S.badges(seg).crossJoin(pending)  # one row each
+    return S.badges(seg).withColumn("pending", S.pending_transcription(seg).agg(F.count(F.lit(1))).scalar())
 
 
 @query("best_streams", "FIL-17", oracle="""

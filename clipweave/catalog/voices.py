@@ -279,8 +279,9 @@ def _pools(spark: SparkSession, d: str) -> DataFrame:
     """Every project knows the even characters; character 4 owns the key of speaker 5."""
     projects = A.vectors(spark, d).select(F.col("item_id").alias("project_id")).distinct()
     known = A.pool(spark, d).filter("ord % 2 = 0").drop("project_id")
+    rows = known.agg(F.collect_list(F.struct(*known.columns))).scalar()  # five rows: the even labels of ten
     key = F.concat_ws(":", F.col("project_id").cast("string"), F.lit("speaker5"))
-    return projects.crossJoin(F.broadcast(known)).withColumn(  # five rows: the even labels of ten
+    return projects.withColumn("_all", rows).select("project_id", F.inline("_all")).withColumn(
         "labels", F.when(F.col("ord") == 4, F.array(key)).otherwise(F.array().cast("array<string>"))
     )
 
@@ -375,7 +376,6 @@ def feedback_job(spark: SparkSession, d: str) -> DataFrame:
 @query("gap_scan", "MAT-6")
 def gap_scan(spark: SparkSession, d: str) -> DataFrame:
     """Uncovered speech of each item, the first 40 candidates, matched in order."""
-    from clipweave.operators import intervals as I
     from clipweave.plans.gapscan import gap_candidates
 
     sparse = A.sparse_segments(spark, d)

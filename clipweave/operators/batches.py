@@ -124,9 +124,9 @@ def divisible(rows: DataFrame, replicas: int, drop_last: bool = False) -> DataFr
     """Repeat the head (or drop the tail) so that rows divide by the replicas; adds pos, rank."""
     from clipweave.plans.scan import number_all
 
-    total = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    n = rows.agg(F.count(F.lit(1))).scalar()
     rounded = F.floor(F.col("_n") / replicas) if drop_last else F.ceil(F.col("_n") / replicas)
-    at = number_all(rows, ["ord"], "_p").crossJoin(F.broadcast(total.withColumn("_total", (rounded * replicas).cast("long"))))
+    at = number_all(rows, ["ord"], "_p").withColumn("_n", n).withColumn("_total", (rounded * replicas).cast("long"))
     at = at.filter(F.col("_p") <= F.col("_total")).withColumn(
         "pos", F.explode(F.sequence((F.col("_p") - 1).cast("long"), F.col("_total") - 1, F.col("_n"))))
     return at.withColumn("rank", F.col("pos") % replicas).drop("_p", "_n", "_total")

@@ -201,20 +201,17 @@ def label_cover(segments: DataFrame, turns: DataFrame) -> DataFrame:
         .join(labels, "item_id")
     )
 
-    def point(src: DataFrame, t: str, k: int, n: int, seg: Column, begin: Column) -> DataFrame:
-        return src.select(
-            "item_id", "label", F.col(t).alias("t"), F.lit(k).alias("k"), F.lit(n).alias("n"),
-            (F.lit(n) * F.col(t)).alias("w"), seg.cast("long").alias("seg_id"),
-            begin.cast("long").alias("begin"),
+    def point(t: str, k: int, n: int, seg: Column, begin: Column) -> Column:
+        return F.struct(
+            F.col(t).alias("t"), F.lit(k).alias("k"), F.lit(n).alias("n"), (F.lit(n) * F.col(t)).alias("w"),
+            seg.cast("long").alias("seg_id"), begin.cast("long").alias("begin"),
         )
 
     none = F.lit(None)
-    points = (
-        point(named, "start_ms", 0, 1, none, F.col("start_ms"))
-        .unionByName(point(named, "end_ms", 0, -1, none, none))
-        .unionByName(point(asked, "start_ms", 1, 0, F.col("seg_id"), none))
-        .unionByName(point(asked, "end_ms", 2, 0, F.col("seg_id"), none))
-    )
+    edges = F.array(point("start_ms", 0, 1, none, F.col("start_ms")), point("end_ms", 0, -1, none, none))
+    asks = F.array(point("start_ms", 1, 0, F.col("seg_id"), none), point("end_ms", 2, 0, F.col("seg_id"), none))
+    points = named.select("item_id", "label", F.inline(edges)).unionByName(
+        asked.select("item_id", "label", F.inline(asks)))
     keys = ["item_id", "label"]
     n_turns = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
     n_segs = segments.groupBy("item_id").agg(F.count(F.lit(1)).alias("_s"))

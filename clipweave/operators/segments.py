@@ -211,8 +211,7 @@ def identification_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 def label_distribution(rows: DataFrame, label: str = "label") -> DataFrame:
     """Rows and share of all rows per label."""
     by = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = by.agg(F.sum("n").alias("_t"))
-    return by.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")  # one row
+    return by.withColumn("share", F.col("n") / by.agg(F.sum("n")).scalar())
 
 
 def reason_counts(rows: DataFrame, reason: Column) -> DataFrame:

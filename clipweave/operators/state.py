@@ -92,8 +92,8 @@ def phoneme_ids(rows: DataFrame, vocabulary: DataFrame, unknown: str | None = "U
     flat = rows.select("name", F.posexplode("phones").alias("pos", "symbol"))
     found = flat.join(vocabulary, "symbol", "left")
     if unknown is not None:
-        spare = vocabulary.filter(F.col("symbol") == unknown).agg(F.max("id").alias("_unk"))  # one row
-        found = found.crossJoin(F.broadcast(spare)).withColumn("id", F.coalesce("id", "_unk"))
+        spare = vocabulary.filter(F.col("symbol") == unknown).agg(F.max("id")).scalar()
+        found = found.withColumn("id", F.coalesce(F.col("id"), spare))
     ids = found.groupBy("name").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"),
         F.count_if(F.col("id").isNull()).alias("n_unknown"),
@@ -133,8 +133,8 @@ def deletable_projects(projects: DataFrame, items: DataFrame) -> DataFrame:
 
 def assign_default_project(items: DataFrame, projects: DataFrame) -> DataFrame:
     """Items without a project move to the oldest one."""
-    oldest = projects.agg(F.min_by("project_id", F.struct("created", "project_id")).alias("_p"))  # one row
-    return items.crossJoin(F.broadcast(oldest)).withColumn("project_id", F.coalesce("project_id", "_p")).drop("_p")
+    oldest = projects.agg(F.min_by("project_id", F.struct("created", "project_id"))).scalar()
+    return items.withColumn("project_id", F.coalesce(F.col("project_id"), oldest))
 
 
 def pool_item_characters(items: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ from clipweave.session import scratch_path
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of parquet files under ``path`` (a glob)."""
+    """Stream of parquet files under ``path`` (a glob), in micro-batches of bounded size."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(path)
+        return reader.option("maxFilesPerTrigger", str(files_per_batch)).parquet(path)
+    return reader.option("maxBytesPerTrigger", str(8 << 30)).parquet(path)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
