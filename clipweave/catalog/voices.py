@@ -365,7 +365,23 @@ def rescan_counters(spark: SparkSession, d: str) -> DataFrame:
     return rescan_assign(spark, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("feedback_job", "MAT-5", "UPD-9")
+_FEEDBACK = """
+segv AS (SELECT vec_id, emb, CASE WHEN vec_id % 4 = 1 THEN 'c' || label WHEN vec_id % 4 = 2 THEN 'c' || ((label + 3) % 10)
+                WHEN vec_id % 4 = 3 THEN 'gone' END AS cur, vec_id % 9 = 0 AS locked, vec_id % 10 = 7 AS mixed FROM asked),
+smp AS (SELECT cur AS char_id, d, avg(v) AS m, count(*) AS k FROM segv JOIN vdims USING (vec_id) WHERE locked AND cur IS NOT NULL GROUP BY 1, 2),
+pdim AS (SELECT ord, char_id, emb_count, unnest(range(1, len(emb) + 1)) AS d, unnest(emb) AS o FROM pool),
+npool AS (SELECT ord, char_id, list(CASE WHEN k IS NULL THEN o ELSE (o * emb_count + m * k) / (emb_count + k) END ORDER BY d) AS emb
+          FROM pdim LEFT JOIN smp USING (char_id, d) GROUP BY 1, 2),
+sims AS (SELECT a.vec_id, a.cur, p.char_id, p.ord AS pord, """ + COS.format(a="a.emb", b="p.emb") + """ AS sim FROM segv a CROSS JOIN npool p),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, pord) AS rk FROM sims),
+t2 AS (SELECT vec_id, max(CASE WHEN rk = 1 THEN char_id END) AS best, max(CASE WHEN rk = 1 THEN sim END) AS s1,
+              max(CASE WHEN rk = 2 THEN sim END) AS s2, coalesce(max(CASE WHEN char_id = cur THEN sim END), -1) AS sc FROM rk GROUP BY 1)"""
+
+
+@query("feedback_job", "MAT-5", "UPD-9", oracle=A.sql(*BASE, QUERYSET, _FEEDBACK, body="""
+SELECT CASE WHEN locked OR mixed THEN 'skipped' WHEN cur IS NULL AND s1 >= 0.80 AND s1 - s2 >= 0.05 THEN 'bound'
+    WHEN cur IS NOT NULL AND cur <> best AND s1 >= 0.80 AND s1 - sc >= 0.08 THEN 'moved' ELSE 'kept' END AS outcome, count(*) AS n
+FROM segv JOIN t2 USING (vec_id) WHERE NOT (locked AND cur IS NOT NULL) GROUP BY 1"""))
 def feedback_job(spark: SparkSession, d: str) -> DataFrame:
     seg = _voiced_segments(spark, d)
     samples = seg.filter("locked AND character_id IS NOT NULL").select("project_id", "item_id", "seg_id", "character_id", "emb")
