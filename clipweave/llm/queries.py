@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipweave.llm import bpe, decontam, linededup, repetition, substrings, warc
+from clipweave.llm import bpe, decontam, linededup, minhash, repetition, substrings, warc
 from clipweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {ASCII.format("array_to_string(" + WORDS + ", ' ')")} AS t FROM documents),
+w AS (SELECT doc_id, string_split(t, ' ') AS w FROM d WHERE t <> ''),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(p)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 75 * (x.n + y.n - i)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN c ON doc_id = a LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op4_near_duplicates", NEAR_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 DECONTAM_SQL = f"""
 WITH i AS (SELECT DISTINCT item_id, {ASCII.format("array_to_string(" + WORDS + ", ' ')")} AS t FROM benchmark),
 iw AS (SELECT item_id, string_split(t, ' ') AS w FROM i WHERE t <> ''),
