@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipweave.llm import bpe, decontam, linededup, minhash, repetition, substrings, warc
+from clipweave.llm import bpe, decontam, linededup, minhash, pii, quality, repetition, substrings, warc
 from clipweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,15 @@ SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(spans, '')
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = substrings.dedup(table(spark, sf_dir, "documents"))
     return held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_removed", _spans(F.col("spans")).alias("spans"))
+
+
+@query("op2_weak_label_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("doc").alias("doc_id"), "n_words", F.round("score", 4).alias("score"), "kept")
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
