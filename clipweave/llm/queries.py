@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipweave.llm import bpe, decontam, linededup, minhash, pii, quality, repetition, substrings, warc
+from clipweave.llm import bpe, decontam, linededup, minhash, pii, quality, rendering, repetition, substrings, warc
 from clipweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op5_layout_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.extract(table(spark, sf_dir, "pages"))

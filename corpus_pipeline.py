@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipweave.llm import bpe, decontam, linededup
+from clipweave.llm import bpe, decontam, linededup, minhash, quality
 from clipweave.llm.common import table, written
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.apply(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicate(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
@@ -23,9 +31,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("line_dedup", line_dedup), ("decontamination", decontaminate), ("byte_bpe", encode)]
+STAGES = [
+    ("quality_classifier", classify),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("byte_bpe", encode),
+]
 
-#: the classifier in front is trained, which SQL can't express; tests hold the rest against brute force
+#: the first stage is trained, which SQL can't express; the tests hold the pipeline against brute force
 ORACLE_SQL = None
 
 
