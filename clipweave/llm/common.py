@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: rows of numbers (16 to 32 bytes each) that are broadcast at most; more are joined by shuffle
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for written rows of checked number; a larger table is left as it is."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone, as the contracts ask; other letters stay."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

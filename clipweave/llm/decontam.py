@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipweave.llm.common import lower_ascii, written
+from clipweave.llm.common import lower_ascii, sized, written
 
 #: words of a shingle
 SHINGLE = 5
@@ -29,8 +29,6 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: common shingles from which a sketch is sure enough: 0.22 ^ 8 is under 6e-6
 SURE = 8
-#: an index of at most this many rows (about 32 bytes each) is broadcast; a larger one is joined by shuffle
-BROADCAST_ROWS = 400_000
 
 
 def word_array(text: Column) -> Column:
@@ -99,11 +97,6 @@ def item_index(items: DataFrame) -> DataFrame:
     return flat.select("hash", "item_id", F.greatest(shared, F.lit(0)).alias("part"))
 
 
-def _sized(index: DataFrame) -> DataFrame:
-    """A broadcast hint for an index of proven size; a larger one is left to a shuffled join."""
-    return F.broadcast(index) if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else index
-
-
 def candidates(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, k: int = SHINGLE) -> DataFrame:
     """Distinct (doc, body, item_id) pairs that share a sketch value, or any shingle for small items."""
     need = F.ceil(F.size("hashes") * F.lit(containment))
@@ -111,11 +104,11 @@ def candidates(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
     held = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
     hashed = held.select("doc", "body", F.array_distinct(bound(word_array(F.col("text")), _runs_of(k, "hash"))).alias("hashes"))
     mins = hashed.select("doc", "body", F.coalesce(part_of(F.size("hashes")), F.lit(0)).alias("of"), F.explode(sketch(F.col("hashes"), F.size("hashes"))).alias("hash"))
-    found = mins.join(_sized(item_index(sure)), "hash").filter(F.col("part") <= F.col("of") + 1).select("doc", "body", "item_id")
+    found = mins.join(sized(item_index(sure)), "hash").filter(F.col("part") <= F.col("of") + 1).select("doc", "body", "item_id")
     for row in small.select("k").distinct().collect():  # at most k lengths
         index = small.filter(F.col("k") == row.k).select("item_id", F.explode("hashes").alias("hash"))
         every = held.select("doc", "body", F.explode(bound(word_array(F.col("text")), _runs_of(row.k, "hash"))).alias("hash"))
-        found = found.unionByName(every.join(_sized(index), "hash").select("doc", "body", "item_id"))
+        found = found.unionByName(every.join(sized(index), "hash").select("doc", "body", "item_id"))
     return found.distinct()
 
 
@@ -124,7 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     items = written(item_shingles(benchmark, k), "items")
     pairs = written(candidates(docs, items, containment, k), "item-pairs")
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"), "text")
-    held = texts.join(pairs, ["doc", "body"]).select("doc", "body", "item_id", F.col("text").cast("string").alias("text"))
+    held = texts.join(sized(pairs), ["doc", "body"]).select("doc", "body", "item_id", F.col("text").cast("string").alias("text"))
     met = held.join(items.select("item_id", "k", "texts"), "item_id")
     lengths = [r.k for r in items.select("k").distinct().collect()]  # at most k lengths
     each = [F.when(F.col("k") == n, bound(word_array(F.col("text")), _runs_of(n, "text"))) for n in lengths]
@@ -137,4 +130,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMEN
     """The documents that hold no benchmark item; columns as they came."""
     hit = written(contaminated(docs, benchmark, containment).select("doc", "body").distinct(), "contaminated")
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"))
-    return held.join(hit, ["doc", "body"], "left_anti").select("row.*")
+    return held.join(sized(hit), ["doc", "body"], "left_anti").select("row.*")

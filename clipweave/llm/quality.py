@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.llm import weaklabels
-from clipweave.llm.common import pieces, sums, words_of, written
+from clipweave.llm.common import pieces, sized, sums, words_of, written
 
 #: documents that the scorer is fitted on, at most
 SAMPLE = 20_000
@@ -177,4 +177,4 @@ def keep(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) ->
     """The documents that are not rejected, columns as they came."""
     gone = written(classify(docs, threshold, sample).filter(~F.col("kept")).select("doc", "body").distinct(), "rejected")
     held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("body"))
-    return held.join(gone.withColumn("doc", F.coalesce("doc", F.lit(-1))), ["doc", "body"], "left_anti").select("row.*")
+    return held.join(sized(gone.withColumn("doc", F.coalesce("doc", F.lit(-1)))), ["doc", "body"], "left_anti").select("row.*")
