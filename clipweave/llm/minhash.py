@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipweave.llm.common import pieces, spread_join, words_of, written
+from clipweave.llm.common import pieces, sized, spread_join, words_of, written
 
 SHINGLE = 5
 #: per cent of the union that two sets must share
@@ -123,19 +123,18 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
-    """node, n, its shingle hashes, and their upper halves packed for comparison inside blocks."""
+    """node, n and its shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2_000_000):
             sets = [s for s in shingle_sets(batch.column(0)) if len(s)]
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             flat = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
-            half = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
-            columns = [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(half, pa.binary())]
+            columns = [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.ListArray.from_arrays(ends, flat)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["node", "n", "shingles", "half"]
-    return texts.select("text").mapInArrow(run, "node long, n long, shingles array<long>, half binary")
+    names = ["node", "n", "shingles"]
+    return texts.select("text").mapInArrow(run, "node long, n long, shingles array<long>")
 
 
 def n_different(a: Column, b: Column) -> Column:
@@ -160,11 +159,16 @@ def similar(common: Column, n: Column, m: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. Both joins are of written tables, so adaptive
-    execution may split the partners of a node that many pairs have."""
+    """The pairs (a, b), a written table, whose full sets are similar.
+
+    A small table of pairs goes to the sets of the first members; a larger one is shuffled. The
+    second join meets the sets of the second members alone, and adaptive execution may split the
+    partners of one that many pairs have.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    right = right.join(sized(written(pairs.select("b").distinct(), "seconds")), "b", "left_semi")
+    both = left.join(sized(pairs), "a").join(right, "b")
     return both.filter(similar(F.size(F.array_intersect("s_a", "s_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
@@ -191,7 +195,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links(group: pd.DataFrame) -> list[tuple[int, int]]:
         nodes, comp, block = group["node"].to_numpy(), group["comp"].to_numpy().copy(), group["block"].to_numpy()
-        sets = [np.frombuffer(s, np.uint32) for s in group["half"]]
+        sets = list(group["half"])
         sizes = np.array([len(s) for s in sets])
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
@@ -243,7 +247,8 @@ def unsettled_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> D
     rows = spread_join(held, mixed, ["key"], F.col("node")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
-    rows = rows.join(sets.select("node", "half"), "node")
+    # rows of one node are few: one per band
+    rows = rows.join(sets.select("node", F.array_distinct(F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int"))).alias("half")), "node")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_links, "a long, b long").distinct()
 
 
@@ -257,16 +262,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared-bands")
     members = written(spread_join(keys, shared, ["key"], F.col("node")), "members")
     scores = members.groupBy("node").agg(F.sum("m").alias("score"))
-    ranked = written(members.drop("m").join(scores.join(nodes.select("node", "n", "packed"), "node"), "node"), "ranked")
+    ranked = written(members.join(scores.join(nodes.select("node", "n", "packed"), "node"), "node"), "ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("score", "node", "n", "packed")).alias("hub"))
     hubs = written(hubs.select("key", F.col("hub.node").alias("b"), F.col("hub.n").alias("hub_n"), F.col("hub.packed").alias("hub_packed")), "hubs")
-    met = spread_join(ranked, hubs, ["key"], F.col("node")).filter(F.col("node") != F.col("b"))
-    sized = 100 * F.least("n", "hub_n") >= SIMILARITY * F.greatest("n", "hub_n")
-    pairs = met.filter(sized & (n_different(F.col("packed"), F.col("hub_packed")) <= MOST_DIFFERENT))
+    # a bucket of m nodes meets its hub in m / BLOCK tasks
+    sizes = ranked.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("tasks")).distinct()
+    copies = hubs.join(sizes, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)).cast("int"))
+    met = salted.join(copies, ["key", "salt"]).filter(F.col("node") != F.col("b"))
+    near_size = 100 * F.least("n", "hub_n") >= SIMILARITY * F.greatest("n", "hub_n")
+    pairs = met.filter(near_size & (n_different(F.col("packed"), F.col("hub_packed")) <= MOST_DIFFERENT))
     pairs = written(pairs.select(F.col("node").alias("a"), "b").distinct(), "pairs")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("first.doc", "first.body")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
-    sets = written(full_sets(texts.join(written(wanted, "wanted"), ["doc", "body"])).dropDuplicates(["node"]), "sets")
+    sets = written(full_sets(texts.join(sized(written(wanted, "wanted")), ["doc", "body"])).dropDuplicates(["node"]), "sets")
     links = written(confirmed(pairs, sets), "links")
     labels = components(links)
     more = written(confirmed(written(unsettled_links(members, labels, sets), "late-pairs"), sets), "late-links")
@@ -284,4 +293,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that are the least of their component (or have no id), columns as they came."""
     gone = written(near_duplicates(docs).filter("doc > component_id").select("doc", "body").distinct(), "near-copies")
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"))
-    return held.join(gone, ["doc", "body"], "left_anti").select("row.*")
+    return held.join(sized(gone), ["doc", "body"], "left_anti").select("row.*")
