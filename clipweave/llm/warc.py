@@ -78,6 +78,11 @@ def _records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         while size and (need is None or size >= need):
             data = b"".join(held)
             if need is None:
+                # a payload that ends in line ends leaves some of them before the next header
+                data = data.lstrip(b"\r\n")
+                if not data:
+                    held, size = [], 0
+                    break
                 head, _, rest = data.partition(mark)
                 lines = head.decode("utf-8").split("\r\n")
                 fields = dict(x.split(": ", 1) for x in lines[1:])
