@@ -12,6 +12,7 @@ empty table gives an empty result; if all posteriors fall on one side, that side
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ STOPWORDS = frozenset(
     "el los las y que es por con para una del no se lo un su al".split()
 )
 SYMBOLS = "#*$%&|<>{}~^=_\\"
+MARKS = frozenset(SYMBOLS)
+LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 LABELERS = ["symbols", "bars", "repeats", "shouting", "stopwords", "sentences"]
 #: scale of shares in the linear model
 SCALE = 30.0
@@ -46,17 +49,19 @@ SCALE = 30.0
 
 def _traits(words: list[str]) -> np.ndarray:
     """Of each distinct word: stop word, has a symbol, is a bar, ends a sentence, shouts, bucket of the word, of its shape."""
-    out = np.zeros((7, len(words)), np.int64)
-    for i, w in enumerate(words):
-        shape = "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in w)
-        while "aa" in shape or "00" in shape:
-            shape = shape.replace("aa", "a").replace("00", "0")
+    rows: list[tuple] = []
+    shapes: dict[str, int] = {}
+    for w in words:
         low = w.lower()
-        out[:, i] = (
-            low.strip(".,;:!?") in STOPWORDS and not (len(w) > 1 and w.isupper()), any(c in SYMBOLS for c in w), w == "|", w[-1] in ".!?" and not w.endswith("!!"), w.endswith("!!") or (len(w) > 2 and w.isupper()),
-            zlib.crc32(low.encode()) % BUCKETS, zlib.crc32(b"shape " + shape.encode()) % BUCKETS,
-        )
-    return out
+        shape = DIGITS.sub("0", LETTERS.sub("a", w))
+        of_shape = shapes.get(shape)
+        if of_shape is None:
+            of_shape = shapes[shape] = zlib.crc32(b"shape " + shape.encode()) % BUCKETS
+        rows.append((
+            low.strip(".,;:!?") in STOPWORDS and not (len(w) > 1 and w.isupper()), not MARKS.isdisjoint(w), w == "|", w[-1] in ".!?" and not w.endswith("!!"),
+            w.endswith("!!") or (len(w) > 2 and w.isupper()), zlib.crc32(low.encode()) % BUCKETS, of_shape,
+        ))
+    return np.array(rows, np.int64).reshape(-1, 7).T.copy()
 
 
 def _votes(counts: np.ndarray, stop: np.ndarray, symbol: np.ndarray, bar: np.ndarray, ends: np.ndarray, shouts: np.ndarray, twice: np.ndarray) -> list[np.ndarray]:
