@@ -43,25 +43,41 @@ SYMBOLS = "#*$%&|<>{}~^=_\\"
 MARKS = frozenset(SYMBOLS)
 LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 LABELERS = ["symbols", "bars", "repeats", "shouting", "stopwords", "sentences"]
+#: bytes of text measured at once; a longer text is measured alone
+PIECE = 1_000_000
+#: words whose traits a task remembers, before it starts anew
+REMEMBERED = 50_000
 #: scale of shares in the linear model
 SCALE = 30.0
 
 
-def _traits(words: list[str]) -> np.ndarray:
-    """Of each distinct word: stop word, has a symbol, is a bar, ends a sentence, shouts, bucket of the word, of its shape."""
-    rows: list[tuple] = []
-    shapes: dict[str, int] = {}
-    for w in words:
+class _Traits(dict):
+    """Traits of distinct words, five flags and two buckets in one number; a task keeps one table of them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.shapes: dict[str, int] = {}
+
+    def __missing__(self, w: str) -> int:
         low = w.lower()
-        shape = DIGITS.sub("0", LETTERS.sub("a", w))
-        of_shape = shapes.get(shape)
+        shape = "a" if w.isalpha() else DIGITS.sub("0", LETTERS.sub("a", w))
+        of_shape = self.shapes.get(shape)
         if of_shape is None:
-            of_shape = shapes[shape] = zlib.crc32(b"shape " + shape.encode()) % BUCKETS
-        rows.append((
-            low.strip(".,;:!?") in STOPWORDS and not (len(w) > 1 and w.isupper()), not MARKS.isdisjoint(w), w == "|", w[-1] in ".!?" and not w.endswith("!!"),
-            w.endswith("!!") or (len(w) > 2 and w.isupper()), zlib.crc32(low.encode()) % BUCKETS, of_shape,
-        ))
-    return np.array(rows, np.int64).reshape(-1, 7).T.copy()
+            of_shape = self.shapes[shape] = zlib.crc32(b"shape " + shape.encode()) % BUCKETS
+        loud, long = len(w) > 1 and w.isupper(), w.endswith("!!")
+        stop, ends = low.strip(".,;:!?") in STOPWORDS and not loud, w[-1] in ".!?" and not long
+        flags = stop | (not MARKS.isdisjoint(w)) << 1 | (w == "|") << 2 | ends << 3 | (long or (loud and len(w) > 2)) << 4
+        number = flags | (zlib.crc32(low.encode()) % BUCKETS * BUCKETS + of_shape) << 5
+        self[w] = number
+        return number
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Of each word: stop word, has a symbol, is a bar, ends a sentence, shouts, bucket of the word, of its shape."""
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self) > REMEMBERED or len(self.shapes) > REMEMBERED:
+            self.clear()
+            self.shapes.clear()
+        return np.stack([*[numbers >> j & 1 for j in range(5)], (numbers >> 5) // BUCKETS, (numbers >> 5) % BUCKETS])
 
 
 def _votes(counts: np.ndarray, stop: np.ndarray, symbol: np.ndarray, bar: np.ndarray, ends: np.ndarray, shouts: np.ndarray, twice: np.ndarray) -> list[np.ndarray]:
@@ -83,10 +99,10 @@ def _votes(counts: np.ndarray, stop: np.ndarray, symbol: np.ndarray, bar: np.nda
     ]
 
 
-def _measured(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+def _measured(texts: pa.Array, traits_of: _Traits) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """(word numbers, traits per distinct word, words per text, votes per labeler, repeats per word)."""
     ids, words, counts = words_of(texts)
-    traits = _traits(words.to_pylist())
+    traits = traits_of.of(words.to_pylist())
     text = np.repeat(np.arange(len(counts)), counts)
     twice = np.zeros(len(ids), np.int64)
     twice[1:] = (ids[1:] == ids[:-1]) & (text[1:] == text[:-1])
@@ -99,8 +115,9 @@ def votes(docs: DataFrame) -> DataFrame:
     """doc, body and the pattern of the six votes for every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            _, _, counts, cast, _ = _measured(batch.column(2))
+        traits_of = _Traits()
+        for batch in pieces(batches, "text", PIECE):
+            _, _, counts, cast, _ = _measured(batch.column(2), traits_of)
             number = np.zeros(len(counts), np.int64)
             for v in cast:
                 number = number * 3 + v + 1
@@ -125,8 +142,9 @@ def _features(ids: np.ndarray, traits: np.ndarray, twice: np.ndarray) -> tuple[n
 
 def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            ids, traits, counts, _, twice = _measured(batch.column(2))
+        traits_of = _Traits()
+        for batch in pieces(batches, "text", PIECE):
+            ids, traits, counts, _, twice = _measured(batch.column(2), traits_of)
             ends = np.cumsum(counts)
             rows = [_features(ids[e - c : e], traits, twice[e - c : e]) if c else ([], []) for e, c in zip(ends, counts)]
             where = pa.array([r[0] for r in rows], pa.list_(pa.int32()))
@@ -163,8 +181,9 @@ def score(docs: DataFrame, weights: list[float], intercept: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
-        for batch in pieces(batches, "text"):
-            ids, traits, counts, _, twice = _measured(batch.column(2))
+        traits_of = _Traits()
+        for batch in pieces(batches, "text", PIECE):
+            ids, traits, counts, _, twice = _measured(batch.column(2), traits_of)
             each = (weight[traits[5]] + weight[traits[6]])[ids] + weight[repeat] * twice
             total = intercept + SCALE * sums(each, counts) / np.maximum(counts, 1)
             p = np.where(counts > 0, 1 / (1 + np.exp(-np.clip(total, -40, 40))), 0.0)
