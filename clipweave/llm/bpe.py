@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from clipweave.llm.common import pieces
 
 #: states kept by a transducer; contexts met later are read without making states
-MOST_STATES = 150_000
+MOST_STATES = 100_000
+#: pairs of neighbours whose check is remembered; more and they are forgotten
+MOST_PAIRS = 300_000
 #: words whose result is remembered (the ones met first, so nearly all frequent ones)
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 #: longer pieces are read byte by byte each time
 LONGEST_WORD = 48
 
@@ -97,7 +99,7 @@ class Transducer:
             return True
         known = self.hopes.get((before, node))
         if known is None:
-            if len(self.hopes) > 8 * MOST_STATES:
+            if len(self.hopes) > MOST_PAIRS:
                 self.hopes.clear()
             known = self.hopes[before, node] = any(self.fit(before, token) for token in below)
         return known
@@ -137,7 +139,7 @@ class Transducer:
         """
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 8 * MOST_STATES:
+            if len(self.fits) > MOST_PAIRS:
                 self.fits.clear()
             first = self.edge(b, False)
             last = [] if a < 0 else self.edge(a, True)
@@ -271,8 +273,11 @@ class Pieces(dict):
         super().__init__()
         self.transducer = transducer
 
+    def read(self, piece: str) -> str:
+        return " ".join(map(str, self.transducer.encode(piece.encode("utf-8"))))
+
     def __missing__(self, piece: str) -> str:
-        ids = " ".join(map(str, self.transducer.encode(piece.encode("utf-8"))))
+        ids = self.read(piece)
         if len(piece) <= LONGEST_WORD and len(self) < MOST_WORDS:
             self[piece] = ids
         return ids
@@ -286,7 +291,9 @@ class Words(dict):
         self.split, self.known = split, known
 
     def __missing__(self, word: str) -> str:
-        ids = " ".join(map(self.known.__getitem__, self.split(" " + word)))
+        parts = self.split(" " + word)
+        # a word that is one piece is remembered here alone
+        ids = self.known.read(parts[0]) if len(parts) == 1 else " ".join(map(self.known.__getitem__, parts))
         if len(word) <= LONGEST_WORD and len(self) < MOST_WORDS:
             self[word] = ids
         return ids
