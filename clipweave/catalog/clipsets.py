@@ -87,9 +87,9 @@ def language_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query("feedback_samples", "FIL-14", "UPD-19", oracle="""
 WITH raw AS (SELECT event_id AS ord, user_id % 3 AS item, event_id % 5 AS seg, event_type AS ch, value FROM events),
-c AS (SELECT * FROM raw WHERE ord % 4 <> 1), h AS (SELECT * FROM c ORDER BY ord LIMIT 20),
-f AS (SELECT *, row_number() OVER (PARTITION BY item, seg ORDER BY ord) AS rk FROM h WHERE ch <> 'error')
-SELECT ord, item::VARCHAR AS item_id, seg::VARCHAR AS seg_id, ch AS character_id, round(value, 2) AS start, round(value + 1, 2) AS "end" FROM f WHERE rk = 1""")
+c AS (SELECT * FROM raw WHERE ord % 4 <> 1), h AS (SELECT *, (row_number() OVER (PARTITION BY item ORDER BY ord) - 1) // 20 AS batch_no FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY item, batch_no, seg ORDER BY ord) AS rk FROM h WHERE ch <> 'error')
+SELECT ord, batch_no, item::VARCHAR AS item_id, seg::VARCHAR AS seg_id, ch AS character_id, round(value, 2) AS start, round(value + 1, 2) AS "end" FROM f WHERE rk = 1""")
 def feedback_samples(spark: SparkSession, d: str) -> DataFrame:
     e = A.read(spark, d, "events")
     raw = e.select(
@@ -100,7 +100,7 @@ def feedback_samples(spark: SparkSession, d: str) -> DataFrame:
         (F.col("value") + 1).cast("string").alias("end"),
     )
     return S.clean_samples(raw).select(
-        "ord", "item_id", "seg_id", "character_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end")
+        "ord", "batch_no", "item_id", "seg_id", "character_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end")
     )
 
 

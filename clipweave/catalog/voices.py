@@ -391,7 +391,7 @@ def feedback_job(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gap_scan", "MAT-6")
 def gap_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Uncovered speech of each item, the first 40 candidates, matched in order."""
+    """Uncovered speech of each item, matched in order."""
     from clipweave.plans.gapscan import gap_candidates
 
     sparse = A.sparse_segments(spark, d)
@@ -420,7 +420,7 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY item_
 @query("gap_scan_candidates", "MAT-6", oracle=A.sql(
     A.EV, A.ITEMS, A.SEGMENTS, A.SPEECH, A.SPARSE,
     __import__("clipweave.catalog.timelines", fromlist=["_GAPS"])._GAPS.format(src="sparse"), _GAPCAND, body="""
-SELECT project_id, ord, item_id, start_ms, end_ms FROM numbered WHERE ord <= 40"""))
+SELECT project_id, ord, item_id, start_ms, end_ms FROM numbered"""))
 def gap_scan_candidates(spark: SparkSession, d: str) -> DataFrame:
     from clipweave.plans.gapscan import gap_candidates
 

@@ -362,8 +362,7 @@ def bind_segments(segments: DataFrame, turns: DataFrame, char_of_label: DataFram
     return whole.unionByName(kids)
 
 
-def normalize_segments(segments: DataFrame, edge_gap: int = 50, contain: float = 0.95,
-                       max_passes: int = 10) -> DataFrame:
+def normalize_segments(segments: DataFrame, edge_gap: int = 50, contain: float = 0.95) -> DataFrame:
     """Drop duplicate neighbours, pass after pass until nothing is removed.
 
     A row is compared with the last *kept* row of its item in (start, end) order.
@@ -400,14 +399,13 @@ def normalize_segments(segments: DataFrame, edge_gap: int = 50, contain: float =
     item_type = segments.schema["item_id"].dataType.simpleString()
     gone_schema = f"item_id {item_type}, ord long, _gone boolean"
     current = segments
-    for _ in range(max_passes):
+    while True:  # every pass but the last removes rows
         slim = current.select("item_id", "start_ms", "end_ms", "locked", "text",
                               F.col("ord").cast("long").alias("ord"))
         gone = cut(ordered_fold(slim, ["item_id"], ["start_ms", "end_ms", "ord"], step, gone_schema))
         if gone.limit(1).count() == 0:
-            break
+            return current
         current = current.join(gone.select("item_id", "ord"), ["item_id", "ord"], "left_anti")
-    return current
 
 
 def best_single_overlap(segments: DataFrame, turns: DataFrame) -> DataFrame:

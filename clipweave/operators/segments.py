@@ -145,8 +145,8 @@ def lenient_language(code: Column) -> Column:
     return F.coalesce(known, F.lower(F.when(F.coalesce(code, F.lit("")) != "", code).otherwise("ja")))
 
 
-def clean_samples(raw: DataFrame, limit: int = 20) -> DataFrame:
-    """Feedback samples that parse; the first ``limit`` rows, one per segment.
+def clean_samples(raw: DataFrame, size: int = 20) -> DataFrame:
+    """Feedback samples that parse, in requests of ``size`` rows per item, one per request and segment.
 
     ``raw`` has string columns and ``ord``; all five fields must cast.
     """
@@ -154,8 +154,9 @@ def clean_samples(raw: DataFrame, limit: int = 20) -> DataFrame:
         "ord", "item_id", "seg_id", "character_id",
         F.col("start").try_cast("double").alias("start"), F.col("end").try_cast("double").alias("end"),
     ).dropna(subset=["item_id", "seg_id", "start", "end"])
-    head = typed.orderBy("ord").limit(limit).filter(F.coalesce("character_id", F.lit("")) != "")
-    first = head.groupBy("item_id", "seg_id").agg(F.min_by(F.struct("*"), "ord").alias("r"))
+    placed = number_rows(typed, ["item_id"], ["ord"], "_n").withColumn("batch_no", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    named = placed.filter(F.coalesce("character_id", F.lit("")) != "")
+    first = named.groupBy("item_id", "batch_no", "seg_id").agg(F.min_by(F.struct("*"), "ord").alias("r"))
     return first.select("r.*")
 
 

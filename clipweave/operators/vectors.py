@@ -291,9 +291,7 @@ def smooth_labels(lines: DataFrame, cents: DataFrame, switch_cost: float = 0.05)
     """
     from clipweave.session import cut
 
-    names = [r["label"] for r in cents.orderBy("ord").select("label").limit(4097).collect()]
-    if len(names) > 4096:
-        raise ValueError("smoothing expects at most 4096 shared labels")
+    names = [r["label"] for r in cents.orderBy("ord").select("label").collect()]
     k = len(names)
     pool = cents.select(F.col("label").alias("char_id"), "ord", F.col("centroid").alias("emb"))
     voiced = lines.filter(F.col("emb").isNotNull())

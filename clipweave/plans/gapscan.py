@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from clipweave.operators.intervals import gaps, intersect
+from clipweave.plans.scan import number_rows
 
 
 def gap_candidates(segments: DataFrame, items: DataFrame, speech: DataFrame, *, min_ms: int = 600,
-                   max_ms: int = 15_000, limit: int = 40) -> DataFrame:
-    """The first ``limit`` uncovered voice ranges per project, items in creation order.
+                   max_ms: int = 15_000, limit: int | None = None) -> DataFrame:
+    """Uncovered voice ranges per project, numbered by ``ord``, items in creation order.
 
-    The limit is part of the report: one scan proposes at most so many rows. Spark
-    applies it to every partition before the shuffle, so no project is gathered whole.
+    A caller that proposes only so many rows at a time names a ``limit``.
     """
     inside = intersect(gaps(segments, items), speech).filter(
         (F.col("end_ms") - F.col("start_ms")).between(min_ms, max_ms)
     )
     placed = inside.join(items.select("item_id", "project_id", "created"), "item_id")
-    w = W.Window.partitionBy("project_id").orderBy("created", "item_id", "start_ms", "end_ms")
-    return placed.withColumn("ord", F.row_number().over(w).cast("long")).filter(F.col("ord") <= limit)
+    numbered = number_rows(placed, ["project_id"], ["created", "item_id", "start_ms", "end_ms"], "ord")
+    return numbered if limit is None else numbered.filter(F.col("ord") <= limit)

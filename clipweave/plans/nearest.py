@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipweave.functions.vectors import EPS
+from clipweave.plans.fold import _fresh
 from clipweave.plans.frames import plain_strings
 from clipweave.plans.scan import number_rows
 from clipweave.session import setting
@@ -139,7 +140,9 @@ def _blocked(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataF
         .drop("_top", "_salts")
     )
     copies = (
-        blocks.join(plan, one)
+        # the pool is numbered, so that ``ord`` may be of any sortable type
+        blocks.select("_rn", "_block", "char_id", "emb", *one)
+        .join(plan, one)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
         .drop("_top", "_salts")
     )
@@ -147,13 +150,13 @@ def _blocked(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataF
     part_schema = T.StructType.fromDDL("_rid long, ord long, char_id string, sim double, now double")
 
     def match(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("ord")
+        right = right.sort_values("_rn")
         left = left[left["_e"].notna()]
         if left.empty or right.empty:
             return pd.DataFrame({"_rid": [], "ord": [], "char_id": [], "sim": [], "now": []}, dtype=object)
         sims = _similar(np.stack(left["_e"].to_list()), np.stack(right["emb"].to_list()))
         top = _leaders(sims, k)
-        ids, ords = right["char_id"].astype(str).to_numpy(), right["ord"].to_numpy()
+        ids, ords = right["char_id"].astype(str).to_numpy(), right["_rn"].to_numpy()
         place = {c: i for i, c in enumerate(ids)}
         at = [place.get(c) for c in left["_cur"]]
         now = [sims[i, j] if j is not None else np.nan for i, j in enumerate(at)]
@@ -164,7 +167,7 @@ def _blocked(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataF
             "now": np.repeat(now, n),
         }))
 
-    partial = placed.groupBy(*spot).cogroup(copies.groupBy(*spot)).applyInPandas(match, part_schema)
+    partial = placed.groupBy(*spot).cogroup(_fresh(copies).groupBy(*spot)).applyInPandas(match, part_schema)
     best = F.struct(F.col("sim"), (-F.col("ord")).alias("o"), F.col("char_id"))
     merged = partial.groupBy("_rid").agg(
         # k entries per block of the pool

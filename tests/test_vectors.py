@@ -61,6 +61,31 @@ def test_blocked_matches_equal_shipped(spark):
     assert len(has) > 20 and all(blocked[k] == v for k, v in has.items())
 
 
+def test_silhouette_of_named_labels_on_both_paths(spark):
+    from clipweave.operators.vectors import silhouette
+
+    rows = spark.createDataFrame(
+        [(1, "anna", [1.0, 0.0]), (1, "anna", [0.9, 0.1]), (1, "ben", [0.0, 1.0]), (1, "ben", [0.1, 0.9])],
+        "project_id long, label string, emb array<double>")
+    shipped = silhouette(rows, ["project_id"]).first()["silhouette"]
+    spark.conf.set("clipweave.poolValues", "1")
+    try:
+        blocked = silhouette(rows, ["project_id"]).first()["silhouette"]
+    finally:
+        spark.conf.unset("clipweave.poolValues")
+    assert shipped > 0.9 and abs(shipped - blocked) < 1e-12
+
+
+def test_feedback_requests_keep_every_sample(spark):
+    from clipweave.operators.segments import clean_samples
+
+    raw = spark.createDataFrame([(i, "a", f"s{i % 7}", "c", "0", "1") for i in range(45)] + [(99, "a", "s1", "c", "x", "1")],
+                                "ord long, item_id string, seg_id string, character_id string, start string, end string")
+    got = [(r.batch_no, r.seg_id, r.ord) for r in clean_samples(raw).collect()]
+    want = {(b, f"s{i % 7}"): i for b in (2, 1, 0) for i in reversed(range(20 * b, min(20 * b + 20, 45)))}
+    assert sorted(got) == sorted((b, s, i) for (b, s), i in want.items())
+
+
 @pytest.mark.parametrize("mode", ["strong", "weak", "gap"])
 def test_matching_in_order_equals_brute_force(spark, mode):
     rng = np.random.default_rng(2)
