@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipweave.llm.common import pieces
+from clipweave.llm.common import pieces, worker_tables
 
 #: states kept by a transducer; contexts met later are read without making states
 MOST_STATES = 100_000
 #: pairs of neighbours whose check is remembered; more and they are forgotten
 MOST_PAIRS = 300_000
 #: words whose result is remembered (the ones met first, so nearly all frequent ones)
-MOST_WORDS = 150_000
+MOST_WORDS = 300_000
 #: longer pieces are read byte by byte each time
 LONGEST_WORD = 48
 
@@ -316,14 +315,12 @@ def _compiled(data: bytes, pattern: str) -> tuple:
     """One compiled transducer per worker process and vocabulary, whatever the number of tasks."""
     import regex
 
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    held = sys.__dict__.setdefault("_clipweave_bpe", {})
-    if key not in held:
-        held.clear()
+    def make() -> tuple:
         transducer = Transducer(read_ranks(data))
         tokens = pa.array([transducer.bytes.get(i, b"") for i in range(max(transducer.bytes) + 1)], pa.binary())
-        held[key] = Words(regex.compile(pattern).findall, Pieces(transducer)), tokens
-    return held[key]
+        return Words(regex.compile(pattern).findall, Pieces(transducer)), tokens
+
+    return worker_tables("bpe", (hashlib.sha256(data).hexdigest(), pattern), make)
 
 
 def token_bytes(ids: pa.Array, tokens: pa.Array) -> list[memoryview]:

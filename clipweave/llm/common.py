@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gc
 import string
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,20 @@ def spread_join(rows: DataFrame, shared: DataFrame, key: list[str], by: Column,
 # --------------------------------------------------------------------------- inside tasks
 
 
+def worker_tables(owner: str, key: object, make: Callable[[], object]) -> object:
+    """An operator's tables in this worker process, kept from task to task.
+
+    Workers serve the stages of all operators one after another, so the tables of one operator
+    leave once another one needs its own: a worker never holds two sets.
+    """
+    slot = sys.__dict__.setdefault("_clipweave_tables", {})
+    if slot.get("key") != (owner, key):
+        slot.clear()
+        gc.collect()
+        slot.update(tables=make(), key=(owner, key))
+    return slot["tables"]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece stay near ``most`` bytes (a longer text is one piece)."""
     for batch in batches:

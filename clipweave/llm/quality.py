@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.llm import weaklabels
-from clipweave.llm.common import pieces, sized, sums, words_of, written
+from clipweave.llm.common import pieces, sized, sums, words_of, worker_tables, written
 
 #: documents that the scorer is fitted on, at most
 SAMPLE = 20_000
@@ -45,14 +45,14 @@ LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 LABELERS = ["symbols", "bars", "repeats", "shouting", "stopwords", "sentences"]
 #: bytes of text measured at once; a longer text is measured alone
 PIECE = 1_000_000
-#: words whose traits a task remembers, before it starts anew
-REMEMBERED = 50_000
+#: words whose traits a worker remembers, before it starts anew
+REMEMBERED = 100_000
 #: scale of shares in the linear model
 SCALE = 30.0
 
 
 class _Traits(dict):
-    """Traits of distinct words, five flags and two buckets in one number; a task keeps one table of them."""
+    """Traits of distinct words, five flags and two buckets in one number; a worker keeps one table of them."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -115,7 +115,7 @@ def votes(docs: DataFrame) -> DataFrame:
     """doc, body and the pattern of the six votes for every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        traits_of = _Traits()
+        traits_of = worker_tables("word traits", BUCKETS, _Traits)
         for batch in pieces(batches, "text", PIECE):
             _, _, counts, cast, _ = _measured(batch.column(2), traits_of)
             number = np.zeros(len(counts), np.int64)
@@ -142,7 +142,7 @@ def _features(ids: np.ndarray, traits: np.ndarray, twice: np.ndarray) -> tuple[n
 
 def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        traits_of = _Traits()
+        traits_of = worker_tables("word traits", BUCKETS, _Traits)
         for batch in pieces(batches, "text", PIECE):
             ids, traits, counts, _, twice = _measured(batch.column(2), traits_of)
             ends = np.cumsum(counts)
@@ -181,7 +181,7 @@ def score(docs: DataFrame, weights: list[float], intercept: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
-        traits_of = _Traits()
+        traits_of = worker_tables("word traits", BUCKETS, _Traits)
         for batch in pieces(batches, "text", PIECE):
             ids, traits, counts, _, twice = _measured(batch.column(2), traits_of)
             each = (weight[traits[5]] + weight[traits[6]])[ids] + weight[repeat] * twice
