@@ -36,6 +36,10 @@ LONGEST_WORD = 48
 
 #: guesses above at most this many tokens are dropped once none of those can follow
 FEW = 12
+#: bytes of text encoded at once; a longer text is encoded alone
+PIECE = 1_000_000
+#: code points of a long text that are cut into words at once
+BLOCK = 1 << 18
 #: white space followed by a space: such a text is cut by the pattern alone
 RUN = re.compile(r"\s ")
 #: above every rank
@@ -302,9 +306,14 @@ class Words(dict):
         after other text begins a new piece, and texts can be cut there."""
         if not text or RUN.search(text):
             return " ".join(map(self.known.__getitem__, self.split(text)))
-        first, *rest = text.split(" ")
-        ids = [*map(self.known.__getitem__, self.split(first)), *map(self.__getitem__, rest)]
-        return " ".join(ids)
+        done, at = [], 0
+        while at >= 0:
+            cut = text.find(" ", at + BLOCK)
+            first, *rest = text[at : cut if cut >= 0 else len(text)].split(" ")
+            begun = [self[first]] if at else map(self.known.__getitem__, self.split(first))
+            done.append(" ".join([*begun, *map(self.__getitem__, rest)]))
+            at = cut + 1 if cut >= 0 else -1
+        return " ".join(done)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -359,7 +368,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tokens = _compiled(shared.value, pattern)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             texts = [text or "" for text in batch.column(1).to_pylist()]
             ids = [words.encode(text) for text in texts]
             out: list[tuple] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import string
 import sys
@@ -74,10 +75,20 @@ def worker_tables(owner: str, key: object, make: Callable[[], object]) -> object
     if slot.get("key") != (owner, key):
         slot.clear()
         gc.collect()
+        give_back()
         slot.update(tables=make(), key=(owner, key))
     return slot["tables"]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for later stages and count while they idle."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece stay near ``most`` bytes (a longer text is one piece)."""
     for batch in batches:
@@ -89,6 +100,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
             to = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        del texts, batch
+        give_back()
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -130,6 +130,23 @@ def test_encoding_equals_the_public_library(spark):
         assert list(r.ids) == public.encode_ordinary(texts[r.doc_id] or "") and r.round_trip and r.n_tokens == len(r.ids)
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    import public_tokenizers
+    import regex
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    public = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = bpe.Words(regex.compile(public_tokenizers.PATTERN).findall, bpe.Pieces(bpe.Transducer(ranks)))
+    random.seed(7)
+    parts = ["a", "word", "é漢", "it's", "12345", "\n", "\nx", "--", "", "y\t"]
+    texts = ["", " ", "a ", " a", "  ", *[" ".join(random.choices(parts, k=random.randint(1, 40))) for _ in range(200)]]
+    for block in (1, 2, 7, 50):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        assert [words.encode(t) for t in texts] == [" ".join(map(str, public.encode_ordinary(t))) for t in texts]
+
+
 def test_transducer_without_kept_states(monkeypatch):
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"aa": 259, b"aaa": 260}
     kept = bpe.Transducer(ranks)
