@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,12 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipweave.functions.vectors import EPS, cosine, minus, unit
-from clipweave.plans.fold import ordered_fold
+from clipweave.plans.fold import _fresh, ordered_fold
 from clipweave.plans.frames import plain_strings
-from clipweave.plans.nearest import best_matches
+from clipweave.plans.nearest import GROUP_ROWS, best_matches
 from clipweave.plans.scan import neighbour, number_rows, prefix_scan, running_sum
+from clipweave.session import setting
 
-EXACT_LINES = 2000
+#: clusters of a group that one task joins to the end; more are joined in rounds first, with the same result
+EXACT_LINES = 4096
+#: heights where the tree is cut: by silhouette, and where none decides with too few or too many clusters
+CUTS = [float(t) for t in np.arange(0.04, 0.94, 0.02)]
+LADDER = (0.50, 0.45, 0.40, 0.35, 0.30, 0.25, 0.20, 0.15, 0.10, 0.05)
+WIDER = (0.65, 0.70, 0.75, 0.80, 0.85, 0.90)
 
 
 def vector_mean(col: str | Column) -> Column:
@@ -114,55 +122,193 @@ def cluster_lines(rows: DataFrame, keys: list[str], *, exact_lines: int = EXACT_
                   min_k: int = 3, threshold: float = 0.60, merge: float = 0.95) -> DataFrame:
     """Adds ``cluster`` (numbered by first appearance in ``ord``) per group of ``keys``.
 
-    Groups of up to ``exact_lines`` lines: average linkage on cosine distance, cut
-    where the centroid silhouette is best. Larger groups are first reduced to
-    ``exact_lines`` micro clusters (hash-chosen seeds, every line goes to the closest),
-    and the same linkage runs on their sums and counts: average linkage needs nothing
-    else. That reduction is the only approximation.
+    Average linkage on cosine distance over all lines of a group, cut where the centroid
+    silhouette is best. Clusters are (sum, count) rows: average linkage needs nothing else.
+    Equal vectors start as one cluster. While a group has more than ``exact_lines`` clusters,
+    all mutual nearest pairs merge in rounds of joins; average linkage is reducible, so this
+    gives the same tree as one merge at a time. One task then makes the last merges.
     """
-    x = rows.filter(F.col("emb").isNotNull()).withColumn("emb", unit(F.col("emb").cast("array<double>")))
-    sizes = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    sized = x.join(sizes, keys)
-    small = sized.filter(F.col("_size") <= exact_lines).withColumn("_unit", F.col("ord").cast("string"))
-    frames = [small]
-    if sizes.filter(F.col("_size") > exact_lines).limit(1).count():
-        frames.append(_micro_clusters(sized.filter(F.col("_size") > exact_lines), keys, exact_lines))
-    units = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    units = units.drop("_size")
-    summary = units.groupBy(*keys, "_unit").agg(
-        vector_mean("emb").alias("_mean"), F.count(F.lit(1)).alias("_n"), F.min("ord").alias("_ord")
-    )
+    from clipweave.session import cut
+
+    x = rows.filter(F.col("emb").isNotNull()).select(*keys, "ord", unit(F.col("emb").cast("array<double>")).alias("emb"))
+    same = cut(x.groupBy(*keys, "emb").agg(F.min("ord").alias("_unit"), F.count(F.lit(1)).cast("double").alias("n")))
+    n = F.col("n")
+    units = same.select(*keys, F.col("_unit").alias("ord"), F.transform("emb", lambda v: v * n).alias("s"), "n")
+    large = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > exact_lines).drop("_m")
+    large = cut(large)
     schema = T.StructType([
-        *[summary.schema[c] for c in keys],
-        T.StructField("_unit", T.StringType()), T.StructField("cluster", T.IntegerType()),
+        *[units.schema[c] for c in keys],
+        T.StructField("_unit", units.schema["ord"].dataType), T.StructField("cluster", T.IntegerType()),
     ])
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_ord", kind="stable")
-        n = part["_n"].to_numpy(float)
-        sums = np.stack(part["_mean"].to_list()) * n[:, None]
-        out = part[[*keys, "_unit"]].copy()
-        out["cluster"] = choose_clusters(sums, n, max_k, min_k, threshold, merge)
+        part = part.sort_values("ord", kind="stable")
+        out = part[[*keys, "ord"]].rename(columns={"ord": "_unit"})
+        sums = np.stack(part["s"].to_list())
+        out["cluster"] = choose_clusters(sums, part["n"].to_numpy(float), max_k, min_k, threshold, merge)
         return plain_strings(out)
 
-    solved = summary.groupBy(*keys).applyInPandas(solve, schema)
-    named = units.join(solved, [*keys, "_unit"]).drop("_unit", "emb")
-    back = [c for c in named.columns if c not in rows.columns]
-    return rows.join(named.select(*keys, "ord", *back), [*keys, "ord"], "left")
+    solved = units.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(solve, schema)
+    if large.limit(1).count():
+        big = units.join(large, keys, "left_semi")
+        solved = solved.unionByName(_cluster_large(big, keys, exact_lines, max_k, min_k, threshold, merge))
+    named = same.join(solved, [*keys, "_unit"]).select(*keys, "emb", "cluster")
+    named = x.join(named, [*keys, "emb"]).select(*keys, "ord", "cluster")
+    return rows.join(named, [*keys, "ord"], "left")
+
+
+def vector_sum(col: str) -> Column:
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(col))))
+
+
+def linkage_tree(units: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The average-linkage tree as rows (keys, ord, parent, h): ``ord`` joins ``parent`` at height ``h``.
+
+    ``units``: keys, ord, s (sum of unit vectors), n. A cluster is named by its smallest ``ord``.
+    """
+    from clipweave.session import cut
+
+    clusters, tree = cut(units), []
+    kind = units.schema["ord"].dataType
+    while True:
+        busy = clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > most).drop("_m")
+        if not busy.limit(1).count():
+            break
+        n = F.col("n")
+        pool = clusters.join(busy, keys, "left_semi").select(
+            *keys, "ord", F.col("ord").cast("string").alias("char_id"), F.transform("s", lambda v: v / n).alias("emb")
+        )
+        got = best_matches(pool, pool, keys=keys, k=2, scaled=False)
+        other = F.filter("matches", lambda m: m["char_id"] != F.col("char_id"))[0]
+        near = cut(got.select(*keys, "ord", other["char_id"].cast(kind).alias("parent"), other["sim"].alias("sim")))
+        back = near.select(*keys, F.col("ord").alias("parent"), F.col("parent").alias("ord"))
+        pairs = near.join(back, [*keys, "ord", "parent"]).filter("parent < ord")
+        # rounding may leave a group without a mutual pair: its closest one merges
+        best = near.groupBy(*keys).agg(F.max_by(F.struct("ord", "parent", "sim"), F.struct("sim", -F.col("ord"))).alias("b"))
+        best = best.join(pairs.select(*keys).distinct(), keys, "left_anti").select(
+            *keys, F.greatest("b.ord", "b.parent").alias("ord"), F.least("b.ord", "b.parent").alias("parent"), "b.sim"
+        )
+        pairs = cut(pairs.unionByName(best).select(*keys, "ord", "parent", (1 - F.col("sim")).alias("h")))
+        tree.append(pairs)
+        joined = clusters.join(pairs, [*keys, "ord"], "left").withColumn("ord", F.coalesce("parent", "ord"))
+        clusters = cut(joined.groupBy(*keys, "ord").agg(vector_sum("s").alias("s"), F.sum("n").alias("n")))
+        gc.collect()  # lets Spark drop the files of the rounds before
+    schema = T.StructType([
+        *[units.schema[c] for c in keys], T.StructField("ord", kind), T.StructField("parent", kind),
+        T.StructField("h", T.DoubleType()),
+    ])
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ord", kind="stable").reset_index(drop=True)
+        heights, joins = average_linkage(np.stack(part["s"].to_list()), part["n"].to_numpy(float))
+        out = part.loc[[b for _, b in joins], [*keys, "ord"]].reset_index(drop=True)
+        out["parent"] = part["ord"].to_numpy()[[a for a, _ in joins]] if joins else []
+        out["h"] = heights
+        return plain_strings(out)
 
+    rest = clusters.groupBy(*keys).applyInPandas(finish, schema)
+    for pairs in tree:
+        rest = rest.unionByName(pairs)
+    return rest
 
-def _micro_clusters(rows: DataFrame, keys: list[str], seeds: int) -> DataFrame:
-    from pyspark.sql import window as W
 
-    pick = W.Window.partitionBy(*keys).orderBy("_h", "ord")  # top-n: rows are limited before the shuffle
-    chosen = (
-        rows.withColumn("_h", F.xxhash64("ord"))
-        .withColumn("_rk", F.row_number().over(pick))
-        .filter(F.col("_rk") <= seeds)
+def _cluster_large(units: DataFrame, keys: list[str], most: int, max_k: int, min_k: int, threshold: float,
+                   merge: float) -> DataFrame:
+    """``choose_clusters`` as aggregates over the merge list: (keys, _unit, cluster)."""
+    from clipweave.session import cut
+
+    tree = cut(linkage_tree(units, keys, most))
+    every = [*CUTS, threshold, *LADDER, *WIDER]
+    counts = tree.groupBy(*keys).agg(F.array(*[F.count_if(F.col("h") <= t) for t in every]).alias("made"))
+    sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("lines"))
+    cuts = T.StructType([*[units.schema[c] for c in keys], *T.StructType.fromDDL("base double, steps array<double>").fields])
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            base, steps = [], []
+            for made, m, lines in zip(part["made"], part["m"], part["lines"], strict=True):
+                left = {t: int(m - c) for t, c in zip(every, made, strict=True)}
+                first: dict[int, float] = {}
+                for t in CUTS:
+                    if 2 <= left[t] <= max_k and left[t] < lines:
+                        first.setdefault(left[t], t)
+                steps.append(sorted(first.values()))
+                base.append(steps[-1][0] if first else _plain_cut(left.__getitem__, max_k, min_k, threshold))
+            yield plain_strings(part[keys].assign(base=base, steps=steps))
+
+    plan = cut(counts.join(sizes, keys).mapInPandas(choose, cuts))
+    low = tree.join(plan, keys).filter("h <= base").select(*keys, "ord", "parent")
+    roots = cut(units.select(*keys, "ord").join(low, [*keys, "ord"], "left")
+                .select(*keys, "ord", F.coalesce("parent", "ord").alias("root")))
+    while True:  # every pass doubles the steps a link spans
+        ahead = roots.select(*keys, F.col("ord").alias("root"), F.col("root").alias("_next"))
+        moved = cut(roots.join(ahead, [*keys, "root"]))
+        done = moved.filter("root <> _next").limit(1).count() == 0
+        roots = moved.select(*keys, "ord", F.col("_next").alias("root"))
+        if done:
+            break
+    placed = units.join(roots, [*keys, "ord"])
+    heads = placed.groupBy(*keys, "root").agg(vector_sum("s").alias("s"), F.sum("n").alias("n"))
+    above = tree.withColumnRenamed("ord", "root").join(
+        roots.select(*keys, F.col("ord").alias("parent"), F.col("root").alias("_head")), [*keys, "parent"]
+    ).select(*keys, "root", F.col("_head").alias("parent"), "h")
+    heads = heads.join(above, [*keys, "root"], "left").join(plan, keys)
+    heads = cut(heads.select(*keys, F.col("root").alias("ord"), "s", "n", "parent", "h", "steps"))
+
+    # groups with several good cuts: their silhouettes, the lines of a group in salted parts
+    salts = sizes.select(*keys, F.ceil(F.col("m") / setting(units.sparkSession, "matchGroup", GROUP_ROWS)).alias("_salts"))
+    some = heads.filter(F.size("steps") > 1)
+    copies = some.join(salts, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
+    salted = placed.join(salts, keys).join(plan.filter(F.size("steps") > 1).select(*keys), keys, "left_semi")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.col("_salts")))
+    sums_of = T.StructType([*[units.schema[c] for c in keys], *T.StructType.fromDDL("t double, total double, weight double").fields])
+
+    def score(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({f.name: [] for f in sums_of.fields}, dtype=object)
+        right = right.sort_values("ord", kind="stable").reset_index(drop=True)
+        sums, n = np.stack(right["s"].to_list()), right["n"].to_numpy(float)
+        at = right.set_index("ord").index.get_indexer(left["root"])
+        own, weight = np.stack(left["s"].to_list()), left["n"].to_numpy(float)
+        out = []
+        for t in right["steps"].iloc[0]:
+            lab = _heads_at(right, t)
+            cent, members = _directions(sums, lab), np.bincount(lab, weights=n)
+            out.append((t, *_silhouette_sums(own / weight[:, None], weight, lab[at], cent, members)))
+        made = pd.DataFrame(out, columns=["t", "total", "weight"])
+        for c in keys:
+            made[c] = right[c].iloc[0]
+        return plain_strings(made[[f.name for f in sums_of.fields]])
+
+    spot = [*keys, "_salt"]
+    scored = salted.groupBy(*spot).cogroup(_fresh(copies).groupBy(*spot)).applyInPandas(score, sums_of)
+    best = scored.groupBy(*keys, "t").agg((F.sum("total") / F.sum("weight")).alias("v")).groupBy(*keys).agg(
+        F.max_by("t", F.struct(F.col("v"), -F.col("t"))).alias("t")
     )
-    pool = chosen.select(*keys, "ord", F.col("ord").cast("string").alias("char_id"), "emb")
-    got = best_matches(rows, pool, keys=keys, k=1)
-    return got.withColumn("_unit", F.get("matches", F.lit(0))["char_id"]).drop("matches")
+    final = heads.join(best, keys, "left")
+    out_schema = T.StructType([
+        *[units.schema[c] for c in keys], T.StructField("root", units.schema["ord"].dataType),
+        T.StructField("cluster", T.IntegerType()),
+    ])
+
+    def name(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ord", kind="stable").reset_index(drop=True)
+        t = part["t"].iloc[0]
+        lab = np.arange(len(part)) if pd.isna(t) else _heads_at(part, t)
+        out = part[[*keys, "ord"]].rename(columns={"ord": "root"})
+        out["cluster"] = _merge_twins(np.stack(part["s"].to_list()), lab, merge, max_k)
+        return plain_strings(out)
+
+    named = final.groupBy(*keys).applyInPandas(name, out_schema)
+    return roots.join(named, [*keys, "root"]).select(*keys, F.col("ord").alias("_unit"), "cluster")
+
+
+def _heads_at(heads: pd.DataFrame, t: float) -> np.ndarray:
+    """Labels of the clusters of a cut when it is raised to ``t``; rows in order of appearance."""
+    place = {o: i for i, o in enumerate(heads["ord"])}
+    up = heads[heads["h"].notna()].sort_values("h", kind="stable")
+    joins = [(place[p], place[o]) for p, o in zip(up["parent"], up["ord"], strict=True)]
+    return _cut_tree(len(heads), up["h"].to_list(), joins, t)
 
 
 def choose_clusters(sums: np.ndarray, n: np.ndarray, max_k: int, min_k: int, threshold: float,
@@ -176,26 +322,26 @@ def choose_clusters(sums: np.ndarray, n: np.ndarray, max_k: int, min_k: int, thr
     heights, joins = average_linkage(sums, n)
     cut = lambda t: _cut_tree(len(n), heights, joins, t)
     best, score = None, -1.0
-    for t in np.arange(0.04, 0.94, 0.02):
+    for t in CUTS:
         lab = cut(t)
         if 2 <= lab.max() + 1 <= max_k:
             s = _unit_silhouette(sums, n, lab)
             if s > score:
                 best, score = lab, s
     if best is None:
-        best = cut(threshold)
-        if best.max() + 1 < min_k:
-            ladder = (0.50, 0.45, 0.40, 0.35, 0.30, 0.25, 0.20, 0.15, 0.10, 0.05)
-            hits = [lab for lab in map(cut, ladder) if lab.max() + 1 >= min_k][:1]
-            best = hits[0] if hits else cut(ladder[-1])
-        elif best.max() + 1 > max_k:
-            for t in (0.65, 0.70, 0.75, 0.80, 0.85, 0.90):
-                best = cut(t)
-                if best.max() + 1 <= max_k:
-                    break
+        best = cut(_plain_cut(lambda t: cut(t).max() + 1, max_k, min_k, threshold))
     return _merge_twins(sums, best, merge, max_k)
 
 
+def _plain_cut(clusters: Callable[[float], int], max_k: int, min_k: int, threshold: float) -> float:
+    """The cut where no silhouette decides, by the number of clusters at a height."""
+    if clusters(threshold) < min_k:
+        return next((t for t in LADDER if clusters(t) >= min_k), LADDER[-1])
+    if clusters(threshold) > max_k:
+        return next((t for t in WIDER if clusters(t) <= max_k), WIDER[-1])
+    return threshold
+
+
 def average_linkage(sums: np.ndarray, n: np.ndarray) -> tuple[list[float], list[tuple[int, int]]]:
     """Nearest-neighbour chain; the mean distance of A and B is 1 - S_A.S_B / (n_A n_B)."""
     s, w = sums.copy(), n.copy()
@@ -247,19 +393,23 @@ def _directions(sums: np.ndarray, lab: np.ndarray) -> np.ndarray:
     return total / (np.linalg.norm(total, axis=1, keepdims=True) + EPS)
 
 
-def _unit_silhouette(sums: np.ndarray, n: np.ndarray, lab: np.ndarray) -> float:
-    cent = _directions(sums, lab)
-    dist = 1.0 - (sums / n[:, None]) @ cent.T
+def _silhouette_sums(means: np.ndarray, n: np.ndarray, lab: np.ndarray, cent: np.ndarray,
+                     members: np.ndarray) -> tuple[float, float]:
+    """Sum and weight of the silhouettes of the units whose cluster has more than one line."""
+    dist = 1.0 - means @ cent.T
     rows = np.arange(len(lab))
     a = dist[rows, lab].copy()
     dist[rows, lab] = np.inf
     b = dist.min(axis=1)
-    members = np.bincount(lab, weights=n)[lab]
-    use = members > 1
-    if not use.any():
-        return -1.0
+    use = members[lab] > 1
     s = (b - a) / np.maximum(np.maximum(a, b), EPS)
-    return float(np.average(s[use], weights=n[use]))
+    return float((s[use] * n[use]).sum()), float(n[use].sum())
+
+
+def _unit_silhouette(sums: np.ndarray, n: np.ndarray, lab: np.ndarray) -> float:
+    members = np.bincount(lab, weights=n)
+    total, weight = _silhouette_sums(sums / n[:, None], n, lab, _directions(sums, lab), members)
+    return total / weight if weight else -1.0
 
 
 def _merge_twins(sums: np.ndarray, lab: np.ndarray, limit: float, max_k: int) -> np.ndarray:

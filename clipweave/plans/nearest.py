@@ -25,17 +25,33 @@ from clipweave.session import setting
 POOL_VALUES = 8_000_000  # numbers (64 MB) a shipped pool may hold
 BLOCK = 4096
 GROUP_ROWS = 50_000
+TILE = 4_000_000  # similarities (32 MB) that a task holds at once
+FEW = 8  # so many leaders are found one by one, more by sorting
 
 
-def _similar(rows: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    a = rows / (np.linalg.norm(rows, axis=1, keepdims=True) + EPS)
-    b = pool / (np.linalg.norm(pool, axis=1, keepdims=True) + EPS)
-    return a @ b.T
+def _directions(rows: np.ndarray) -> np.ndarray:
+    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + EPS)
 
 
 def _leaders(sims: np.ndarray, k: int) -> np.ndarray:
     """Column indices of the k largest values per row; earlier columns win ties."""
-    return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    if k > FEW or k >= sims.shape[1]:
+        return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    left, rows, out = np.where(np.isnan(sims), -np.inf, sims), np.arange(len(sims)), []
+    for _ in range(k):
+        out.append(left.argmax(axis=1))
+        left[rows, out[-1]] = -np.inf
+    return np.stack(out, axis=1)
+
+
+def _tiles(rows: np.ndarray, pool: np.ndarray, k: int, scaled: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, leaders, similarities) of as many rows at a time as fit ``TILE`` numbers."""
+    if scaled:
+        rows, pool = _directions(rows), _directions(pool)
+    step = max(1, TILE // max(1, len(pool)))
+    for at in range(0, len(rows), step):
+        sims = rows[at : at + step] @ pool.T
+        yield at, _leaders(sims, k), sims
 
 
 def best_matches(
@@ -46,9 +62,12 @@ def best_matches(
     k: int = 2,
     emb: str = "emb",
     current: str | None = None,
+    scaled: bool = True,
 ) -> DataFrame:
     """Adds ``matches`` = array of (char_id, sim) of the k best, best first.
 
+    Similarity is the cosine, or the plain product of the vectors if not ``scaled``.
+
     ``pool`` has the ``keys``, ord, char_id and emb. Rows whose vector is null get a
     null array. With ``current`` (a column naming a character) ``current_sim`` is
     added: the similarity to that character, or -1 when it is not in the pool.
@@ -61,9 +80,9 @@ def best_matches(
     cur = F.col(current).cast("string") if current else F.lit(None).cast("string")
     slim = rows.withColumn("_cur", cur).withColumn("_e", F.col(emb).cast("array<double>"))
     if n * (width or 1) <= setting(spark, "poolValues", POOL_VALUES):
-        out = _shipped(slim, named, keys, k)
+        out = _shipped(slim, named, keys, k, scaled)
     else:
-        out = _blocked(slim, named, keys, k)
+        out = _blocked(slim, named, keys, k, scaled)
     out = out.drop("_cur", "_e")
     return out if current else out.drop("current_sim")
 
@@ -75,24 +94,25 @@ def _result_schema(rows: DataFrame) -> T.StructType:
     return T.StructType([*rows.schema.fields, *T.StructType.fromDDL(_EXTRA).fields])
 
 
-def _rank(part: pd.DataFrame, ids: list[str], mat: np.ndarray, k: int) -> pd.DataFrame:
+def _rank(part: pd.DataFrame, ids: list[str], mat: np.ndarray, k: int, scaled: bool) -> pd.DataFrame:
     out = part.copy()
     have = part["_e"].notna().to_numpy()
     matches: list = [None] * len(part)
     now: list = [None] * len(part)
     if have.any() and len(ids):
-        sims = _similar(np.stack(part.loc[have, "_e"].to_list()), mat)
         place = {c: i for i, c in enumerate(ids)}
-        for row, order, line in zip(np.flatnonzero(have), _leaders(sims, k), sims, strict=True):
-            matches[row] = [{"char_id": ids[j], "sim": float(line[j])} for j in order]
-            at = place.get(part["_cur"].iloc[row])
-            now[row] = float(line[at]) if at is not None else -1.0
+        voiced, current = np.flatnonzero(have), part["_cur"].to_list()
+        for first, top, sims in _tiles(np.stack(part.loc[have, "_e"].to_list()), mat, k, scaled):
+            for row, order, line in zip(voiced[first : first + len(top)], top, sims, strict=True):
+                matches[row] = [{"char_id": ids[j], "sim": float(line[j])} for j in order]
+                at = place.get(current[row])
+                now[row] = float(line[at]) if at is not None else -1.0
     out["matches"] = matches
     out["current_sim"] = pd.Series(now, dtype="float64", index=out.index)
     return out
 
 
-def _shipped(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _shipped(rows: DataFrame, pool: DataFrame, keys: list[str], k: int, scaled: bool) -> DataFrame:
     local = pool.toPandas()  # size checked by the caller
     local = local.sort_values("ord", kind="stable")
     groups = local.groupby(keys, sort=False, dropna=False) if keys else [((), local)]
@@ -110,12 +130,12 @@ def _shipped(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataF
             groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
             for key, part in groups:
                 ids, mat = known.get(key if isinstance(key, tuple) else (key,), ([], None))
-                yield plain_strings(_rank(part, ids, mat, k))
+                yield plain_strings(_rank(part, ids, mat, k, scaled))
 
     return rows.mapInPandas(rank, schema)
 
 
-def _blocked(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _blocked(rows: DataFrame, pool: DataFrame, keys: list[str], k: int, scaled: bool) -> DataFrame:
     spark = rows.sparkSession
     one = keys or ["_one"]
     if not keys:
@@ -154,18 +174,19 @@ def _blocked(rows: DataFrame, pool: DataFrame, keys: list[str], k: int) -> DataF
         left = left[left["_e"].notna()]
         if left.empty or right.empty:
             return pd.DataFrame({"_rid": [], "ord": [], "char_id": [], "sim": [], "now": []}, dtype=object)
-        sims = _similar(np.stack(left["_e"].to_list()), np.stack(right["emb"].to_list()))
-        top = _leaders(sims, k)
         ids, ords = right["char_id"].astype(str).to_numpy(), right["_rn"].to_numpy()
         place = {c: i for i, c in enumerate(ids)}
         at = [place.get(c) for c in left["_cur"]]
-        now = [sims[i, j] if j is not None else np.nan for i, j in enumerate(at)]
-        n = top.shape[1]
-        return plain_strings(pd.DataFrame({
-            "_rid": np.repeat(left["_rid"].to_numpy(), n), "ord": ords[top].ravel(),
-            "char_id": ids[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel(),
-            "now": np.repeat(now, n),
-        }))
+        rid, made = left["_rid"].to_numpy(), []
+        for first, top, sims in _tiles(np.stack(left["_e"].to_list()), np.stack(right["emb"].to_list()), k, scaled):
+            now = [sims[i, j] if j is not None else np.nan for i, j in enumerate(at[first : first + len(top)])]
+            n = top.shape[1]
+            made.append(pd.DataFrame({
+                "_rid": np.repeat(rid[first : first + len(top)], n), "ord": ords[top].ravel(),
+                "char_id": ids[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel(),
+                "now": np.repeat(now, n),
+            }))
+        return plain_strings(pd.concat(made, ignore_index=True))
 
     partial = placed.groupBy(*spot).cogroup(_fresh(copies).groupBy(*spot)).applyInPandas(match, part_schema)
     best = F.struct(F.col("sim"), (-F.col("ord")).alias("o"), F.col("char_id"))

@@ -133,6 +133,24 @@ def test_clusters_follow_voices(spark, exact):
     assert len(pairs) == 4 and {c for _, c in pairs} == {0, 1, 2, 3}
 
 
+def test_clusters_are_the_same_in_rounds_and_in_one_task(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for project, noise, sizes in ((0, 0.45, (50, 40, 4, 2)), (1, 0.9, (30, 30, 30)), (2, 0.1, (6, 5)), (3, 3.0, (70,))):
+        vecs = [np.eye(8)[k] + rng.normal(scale=noise / 2, size=8) for k, n in enumerate(sizes) for _ in range(n)]
+        vecs += [vecs[0]] * 15  # equal lines
+        rows += [(project, i, [float(x) for x in vecs[j]]) for i, j in enumerate(rng.permutation(len(vecs)))]
+    lines = spark.createDataFrame(rows, "project_id long, ord long, emb array<double>")
+    get = lambda most: {(r.project_id, r.ord): r.cluster for r in V.cluster_lines(lines, ["project_id"], exact_lines=most).collect()}
+    want = {}
+    for p in range(4):
+        own = [(o, np.array(v) / np.linalg.norm(v)) for q, o, v in sorted(rows, key=lambda r: r[:2]) if q == p]
+        lab = V.choose_clusters(np.stack([v for _, v in own]), np.ones(len(own)), 15, 3, 0.60, 0.95)
+        want |= {(p, o): int(c) for (o, _), c in zip(own, lab, strict=True)}
+    assert get(2000) == want
+    assert get(20) == want
+
+
 def test_cluster_edge_sizes(spark):
     one = spark.createDataFrame([(0, 0, [1.0, 0.0])], "project_id long, ord long, emb array<double>")
     assert [r["cluster"] for r in V.cluster_lines(one, ["project_id"]).collect()] == [0]
