@@ -30,11 +30,11 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist title select option noembed noframes".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title noembed noframes".split())
 #: one line end around these, a blank line around those in SPACED too
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption xmp listing".split()
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption xmp listing".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: a start tag ends an open element of these kinds, looked for no further out than the second set
@@ -45,7 +45,16 @@ IMPLIED = {
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 #: these end an open paragraph
-ENDS_P = BLOCKS - {"html", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend"}
+ENDS_P = BLOCKS - {"html", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend", "option", "optgroup"}
+#: drawings and formulas have parts that are not shown
+UNDRAWN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset(["annotation", "annotation-xml"])}
+#: parts of a table, and the open elements that each goes into; forms and inline elements between are left
+GROUPS = frozenset(["thead", "tbody", "tfoot"])
+PART_OF = {"td": GROUPS | {"tr", "table"}, "th": GROUPS | {"tr", "table"}, "tr": GROUPS | {"table"}, "caption": frozenset(["table"]),
+           "colgroup": frozenset(["table"]), "col": frozenset(["table", "colgroup"])} | dict.fromkeys(GROUPS, frozenset(["table"]))
+#: content in these, outside of a cell, stands in front of the table
+OUTSIDE = GROUPS | {"table", "tr"}
+CELLS = frozenset("table td th caption".split())
 SCOPE = frozenset("table td th caption button object html".split())
 
 
@@ -63,7 +72,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _hidden(name: str, attributes: dict[str, str]) -> bool:
     return (
-        "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+        "hidden" in attributes
         or bool(HIDING.search(attributes.get("style", ""))) or (name == "dialog" and "open" not in attributes)
     )
 
@@ -84,11 +93,23 @@ def build(page: str) -> Node:
         if outermost:
             del stack[outermost:]
 
+    def table_at() -> int:
+        """Place of the innermost open table on the stack, 0 for none."""
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "table"), 0)
+
+    def put(child: Node | str) -> None:
+        inner = table_at() if stack[-1].name in OUTSIDE else 0
+        if inner and not (child.isspace() if isinstance(child, str) else child.name in PART_OF or child.name == "form" or not child.shown):
+            # an open table is the last child of its parent
+            stack[inner - 1].children.insert(len(stack[inner - 1].children) - 1, child)
+        else:
+            stack[-1].children.append(child)
+
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
         if text:
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+            put(entities.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -97,11 +118,13 @@ def build(page: str) -> Node:
         name = m[2].lower()
         if m[1]:
             if name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].children.append(Node("p", True))
+                put(Node("p", True))
             elif name == "br":
-                stack[-1].children.append(Node("br", True))
+                put(Node("br", True))
+            elif name == "table":
+                del stack[table_at() or len(stack):]
             elif name not in ("html", "body"):
-                close({name}, {"table"} if name in ("li", "p", "dd", "dt") else frozenset())
+                close({name}, {"table"} if name in PART_OF or name in ("li", "p", "dd", "dt") else CELLS)
             continue
         attributes = _attributes(m[3]) if m[3].strip(" /") else {}
         if name in ("html", "body") and any(n.name == name for n in stack):
@@ -110,6 +133,11 @@ def build(page: str) -> Node:
             close({"p"}, SCOPE)
         if name in IMPLIED:
             close(*IMPLIED[name])
+        if name in PART_OF and table_at():
+            while stack[-1].name not in PART_OF[name] and stack[-1].name not in CELLS:
+                stack.pop()
+        elif name == "table" and stack[-1].name in OUTSIDE and table_at():
+            del stack[table_at():]
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr", True)
             stack[-1].children.append(row)
@@ -117,8 +145,10 @@ def build(page: str) -> Node:
         if stack[-1].name == "head" and name not in UNSEEN | {"meta", "link", "base"}:
             stack.pop()
         number = attributes.get("start", "")
-        node = Node(name, name not in UNSEEN and not (attributes and _hidden(name, attributes)), int(number) if number.lstrip("-").isdigit() and len(number) < 10 else 1)
-        stack[-1].children.append(node)
+        drawn = not any(name in parts and any(n.name == whole for n in stack) for whole, parts in UNDRAWN.items())
+        node = Node(name, drawn and name not in UNSEEN and not (attributes and _hidden(name, attributes)), int(number) if number.lstrip("-").isdigit() and len(number) < 10 else 1)
+        outside = name == "form" and stack[-1].name in OUTSIDE and table_at() > 0
+        put(node)
         if name == "img" and node.shown and attributes.get("alt"):
             node.children.append(attributes["alt"])
         if name in RAW:
@@ -127,7 +157,7 @@ def build(page: str) -> Node:
                 node.children.append(entities.unescape(page[at : end.start()]))
             at = end.end()
         elif name not in VOID and not m[3].rstrip().endswith("/") or name in BLOCKS - VOID:
-            if len(stack) < DEEPEST:
+            if len(stack) < DEEPEST and not outside:
                 stack.append(node)
     return root
 
@@ -186,9 +216,17 @@ def _cells(table: Node) -> list[list[str]]:
     for part in table.children:
         if isinstance(part, Node) and part.shown:
             if part.name == "tr":
-                rows.append([" ".join(rendered(c).split()) for c in part.children if isinstance(c, Node) and c.shown and c.name in ("td", "th")])
-            elif part.name in ("thead", "tbody", "tfoot"):
+                rows.append([])
+                for c in part.children:
+                    text = "" if isinstance(c, Node) and not c.shown else " ".join((c if isinstance(c, str) else rendered(c)).split())
+                    if text or isinstance(c, Node) and c.shown and c.name in ("td", "th"):
+                        rows[-1].append(text)
+            elif part.name in GROUPS:
                 rows += _cells(part)
+            elif table.name in GROUPS:
+                rows.append([" ".join(rendered(part).split())])
+        elif table.name in GROUPS and isinstance(part, str):
+            rows.append([" ".join(part.split())])
     return rows
 
 

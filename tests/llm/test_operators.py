@@ -191,6 +191,22 @@ def test_layout(spark):
     assert {r.page_id: r.text for r in rendering.extract(rows).collect()} == {1: None, 2: "", 3: "deep", 4: ""}
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<table><tr><form><td>a<td>b</form><tr><td>c<td>d</table>end", "a  b\nc  d\n\nend"),
+    ("<table><form><tr><td>a<td>b</form><tr><td>cc<td>d</table>", "a   b\ncc  d"),
+    ("<form><table><tr><form><td>a</form><td>b</table>end</form>", "a  b\n\nend"),
+    ("x<table><tr><b><td>a</b><td>b</table>", "x\n\na  b"),
+    ("x<table><tr>loose<td>a<td>b</table>y", "xloose\n\na  b\n\ny"),
+    ("<table><tbody>loose<tr><td>a<tbody><div>more</div><tr><td>b</table>", "loose\nmore\n\na\nb"),
+    ("<table><tr><td>a<table><tr><td>in</table>z<td>b</table>", "a in z  b"),
+    ("<table><tr><td>a<tr><table><tr><td>next</table>", "a\n\nnext"),
+    ("<p>a<i aria-hidden=true>b</i><svg><title>no</title><desc>no</desc><text>c</text></svg><math><mi>d</mi></math>", "abcd"),
+    ("<p>pick<select><option>one<option selected>two</select>end", "pick\none\ntwo\nend"),
+])
+def test_all_visible_text_of_tables_drawings_and_choices(page, want):
+    assert rendering.render(page) == want
+
+
 def test_short_items_are_found(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "three four"), (3, "zero")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "Three FOUR"), (2, "one two three four five"), (3, "zero")], "item_id long, text string")
