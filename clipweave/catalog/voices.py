@@ -389,6 +389,16 @@ def feedback_job(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def gap_vectors(cands: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Every candidate with a vector from anywhere in the table, chosen by a hash of its place."""
+    from clipweave.plans.scan import number_all
+
+    held = number_all(vectors.select("vec_id", "emb"), ["vec_id"], "_k").drop("vec_id")
+    total = vectors.count()
+    at = 1 + F.pmod(F.xxhash64("item_id", "start_ms"), F.lit(max(total, 1)))
+    return cands.withColumn("_k", at).join(held, "_k", "left").drop("_k")
+
+
 @query("gap_scan", "MAT-6")
 def gap_scan(spark: SparkSession, d: str) -> DataFrame:
     """Uncovered speech of each item, matched in order."""
@@ -398,9 +408,7 @@ def gap_scan(spark: SparkSession, d: str) -> DataFrame:
     speech = A.speech(spark, d).drop("ord")
     cands = gap_candidates(sparse, A.items(spark, d).withColumn("project_id", F.col("item_id") % 8)
                            .withColumn("created", F.col("item_id")), speech)
-    vec = A.vectors(spark, d).select(F.col("vec_id").alias("_k"), "emb")
-    n = F.pmod(F.col("start_ms"), F.lit(500))
-    voiced = cands.withColumn("_k", n).join(vec, "_k", "left").drop("_k")
+    voiced = gap_vectors(cands, A.vectors(spark, d))
     labelled = voiced.withColumn("label", F.lit("")).withColumn("label_key", F.lit(""))
     out = V.match_in_order(labelled, _pools(spark, d).filter("project_id < 8"), mode="gap").filter("how <> 'pool'")
     back = voiced.withColumn("project_id", F.col("project_id").cast("string")).drop("emb")

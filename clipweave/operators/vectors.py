@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from clipweave.functions.vectors import EPS, cosine, minus, unit
 from clipweave.plans.fold import _fresh, ordered_fold
 from clipweave.plans.frames import plain_strings
-from clipweave.plans.nearest import GROUP_ROWS, best_matches
+from clipweave.plans.nearest import GROUP_ROWS, POOL_VALUES, best_matches
 from clipweave.plans.scan import neighbour, number_rows, prefix_scan, running_sum
 from clipweave.session import setting
 
@@ -607,43 +607,36 @@ def match_in_order(labels: DataFrame, pool: DataFrame, *, mode: str, threshold:
     * ``weak``: a character that has the label key, else best >= threshold, else a new one;
     * ``gap``: like strong, but the sample is absorbed and misses stay unassigned.
 
-    Only a matched character changes. With L labels, the L + 2 best characters of the
-    untouched pool per label therefore decide every step, so a project's fold sees at
-    most L * (L + 2) characters however big its pool is. Rows of kind ``pool`` carry the
-    changed characters.
+    Rows of kind ``pool`` carry the changed characters. A pool whose size is checked travels
+    to the tasks, and the labels of a project stream through an ordered fold whose state is
+    the changed characters alone. With a larger pool one task takes a project: only a matched
+    character changes, so with L labels the L + 2 best characters of the untouched pool per
+    label decide every step, at most L * (L + 2) of them.
     """
     lab = labels.filter(F.col("emb").isNotNull()).withColumn("project_id", F.col("project_id").cast("string"))
     chars = pool.withColumn("project_id", F.col("project_id").cast("string"))
-    most = lab.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    near = best_matches(lab.select("project_id", "emb"), chars, keys=["project_id"], k=most + 2)
-    wanted = near.select("project_id", F.explode("matches.char_id").alias("char_id"))
-    if mode == "weak":
-        owners = (
-            chars.select("project_id", "char_id", F.explode("labels").alias("label_key"))
-            .join(lab.select("project_id", "label_key"), ["project_id", "label_key"], "left_semi")
-            .select("project_id", "char_id")
-        )
-        wanted = wanted.unionByName(owners)
-    wanted = wanted.distinct()
-    some = chars.join(wanted, ["project_id", "char_id"], "left_semi").select(
+    todo = lab.select("project_id", F.col("ord").cast("long").alias("ord"), "label", "label_key",
+                      F.col("emb").cast("array<double>").alias("emb"))
+    chars = chars.select(
         "project_id", F.col("ord").cast("long").alias("ord"), F.col("char_id").cast("string").alias("char_id"),
         "labels", F.col("emb").cast("array<double>").alias("emb"), F.col("emb_count").cast("int").alias("emb_count"),
     )
-    todo = lab.select("project_id", F.col("ord").cast("long").alias("ord"), "label", "label_key",
-                      F.col("emb").cast("array<double>").alias("emb"))
+    names = [x.split()[0] for x in _MOVES.split(", ")]
 
     def cos(a: np.ndarray, b: np.ndarray) -> float:
         return float(a @ b / ((np.linalg.norm(a) + EPS) * (np.linalg.norm(b) + EPS)))
 
-    def walk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = [
+    def characters(rows: pd.DataFrame) -> list[dict]:
+        return [
             {"id": r.char_id, "labels": list(r.labels) if r.labels is not None else [],
              "v": None if r.emb is None else np.asarray(r.emb, float),
              "n": 0 if pd.isna(r.emb_count) else int(r.emb_count), "moved": False}
-            for r in right.sort_values("ord").itertuples(index=False)
+            for r in rows.sort_values("ord").itertuples(index=False)
         ]
+
+    def walk(project: str, known: list[dict], rows: pd.DataFrame) -> list[tuple]:
         out = []
-        for r in left.sort_values("ord").itertuples(index=False):
+        for r in rows.itertuples(index=False):
             v = np.asarray(r.emb, float)
             sims = [(-cos(v, c["v"]), i) for i, c in enumerate(known) if c["v"] is not None]
             sims.sort()
@@ -671,12 +664,65 @@ def match_in_order(labels: DataFrame, pool: DataFrame, *, mode: str, threshold:
                 target = {"id": f"char_{r.label_key}", "labels": [r.label_key], "v": v, "n": 1, "moved": True}
                 known.append(target)
                 how = "new"
-            out.append((key[0], r.ord, r.label, target["id"] if target else None, how, best, None, None))
-        out += [(key[0], None, None, c["id"], "pool", None, None if c["v"] is None else c["v"].tolist(), c["n"])
+            out.append((project, r.ord, r.label, target["id"] if target else None, how, best, None, None))
+        return out
+
+    def moved(project: str, known: list[dict]) -> list[tuple]:
+        return [(project, None, None, c["id"], "pool", None, None if c["v"] is None else c["v"].tolist(), c["n"])
                 for c in known if c["moved"]]
-        return plain_strings(pd.DataFrame(out, columns=[x.split()[0] for x in _MOVES.split(", ")]))
 
-    return todo.groupBy("project_id").cogroup(some.groupBy("project_id")).applyInPandas(walk, _MOVES)
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return plain_strings(pd.DataFrame(out, columns=names))
+
+    count, width = chars.agg(F.count(F.lit(1)), F.max(F.size("emb"))).first()
+    if count * max(width or 1, 1) <= setting(labels.sparkSession, "poolValues", POOL_VALUES):
+        local = chars.toPandas()  # size checked
+        shared = labels.sparkSession.sparkContext.broadcast(dict(list(local.groupby("project_id", sort=False))))
+
+        def resume(project: str, state: str | None) -> list[dict]:
+            """The project's characters as the state left them; those made on the way come last."""
+            held = shared.value.get(project)
+            known = [] if held is None else characters(held)
+            place = {c["id"]: c for c in reversed(known)}
+            for i, kept, v, n in json.loads(state) if state else []:
+                now = {"id": i, "labels": kept, "v": None if v is None else np.array(v, float), "n": n, "moved": True}
+                if i in place:
+                    place[i].update(now)
+                else:
+                    known.append(now)
+            return known
+
+        def step(rows: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str | None]:
+            project = rows["project_id"].iloc[0]
+            known = resume(project, state)
+            out = walk(project, known, rows)
+            left = [(c["id"], c["labels"], None if c["v"] is None else c["v"].tolist(), c["n"]) for c in known if c["moved"]]
+            return frame(out), json.dumps(left) if left else None
+
+        def finish(key: tuple, state: str | None) -> pd.DataFrame:
+            return frame(moved(key[0], resume(key[0], state)))
+
+        return ordered_fold(todo, ["project_id"], ["ord"], step, _MOVES, finish=finish)
+
+    most = lab.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    near = best_matches(lab.select("project_id", "emb"), chars, keys=["project_id"], k=most + 2)
+    wanted = near.select("project_id", F.explode("matches.char_id").alias("char_id"))
+    if mode == "weak":
+        owners = (
+            chars.select("project_id", "char_id", F.explode("labels").alias("label_key"))
+            .join(lab.select("project_id", "label_key"), ["project_id", "label_key"], "left_semi")
+            .select("project_id", "char_id")
+        )
+        wanted = wanted.unionByName(owners)
+    wanted = wanted.distinct()
+    some = chars.join(wanted, ["project_id", "char_id"], "left_semi")
+
+    def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known = characters(right)
+        out = walk(key[0], known, left.sort_values("ord"))
+        return frame(out + moved(key[0], known))
+
+    return todo.groupBy("project_id").cogroup(some.groupBy("project_id")).applyInPandas(solve, _MOVES)
 
 
 def match_frozen(labels: DataFrame, pool: DataFrame, keys: list[str], threshold: float = 0.80,

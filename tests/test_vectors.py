@@ -114,6 +114,42 @@ def test_matching_in_order_equals_brute_force(spark, mode):
     assert got == want
 
 
+@pytest.mark.parametrize("mode", ["weak", "gap"])
+def test_matching_streams_through_a_fold(spark, mode):
+    rng = np.random.default_rng(4)
+    pool = _pool(spark, 6, 4)
+    base = [np.array(r["emb"]) for r in pool.orderBy("ord").collect()]
+    vecs = [base[i % 3] + rng.normal(scale=0.4, size=4) for i in range(40)]
+    labels = spark.createDataFrame([(0, i, f"s{i}", f"p:s{i % 30}", [float(x) for x in v]) for i, v in enumerate(vecs)],
+                                   "project_id long, ord long, label string, label_key string, emb array<double>")
+
+    def got(**conf):
+        for k, v in conf.items():
+            spark.conf.set(k.replace("__", "."), v)
+        try:
+            out = V.match_in_order(labels, pool, mode=mode)
+            plan = out._jdf.queryExecution().toString()
+            return {(r.ord, r.char_id): (r.how, r.sim, r.emb, r.emb_count) for r in out.collect()}, "CoGroup" in plan
+        finally:
+            for k in conf:
+                spark.conf.unset(k.replace("__", "."))
+
+    want, grouped = got(clipweave__poolValues="1")
+    assert grouped and sum(how == "match" for how, *_ in want.values()) > 10
+    streamed, grouped = got(spark__sql__execution__arrow__maxRecordsPerBatch="3")
+    assert not grouped and streamed == want
+    assert got(clipweave__rowsPerCell="10")[0] == want
+
+
+def test_gap_candidates_use_the_whole_vector_table(spark):
+    from clipweave.catalog.voices import gap_vectors
+
+    vectors = spark.range(1000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("emb"))
+    cands = spark.range(4000).select((F.col("id") % 7).alias("item_id"), (F.col("id") * 500).alias("start_ms"))
+    got = [r.emb[0] for r in gap_vectors(cands, vectors).collect()]
+    assert len(got) == 4000 and len(set(got)) > 900 and max(got) > 950
+
+
 def _voices(spark, per, seed=0):
     rng = np.random.default_rng(seed)
     out, o = [], 0
