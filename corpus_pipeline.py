@@ -39,7 +39,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: the first stage is trained, which SQL can't express; the tests hold the pipeline against brute force
+#: the first stage is trained, which SQL can't express; no test runs the pipeline as a whole
 ORACLE_SQL = None
 
 
