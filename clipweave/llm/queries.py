@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipweave.llm import bpe, decontam, linededup, minhash, pii, quality, rendering, repetition, substrings, warc
+from clipweave.llm import bpe, decontam, filteraudit, hardneg, langid, linededup, minhash, pii, quality, rendering, repetition, substrings, warc
 from clipweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,59 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_layout_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_cross_parsing_language")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = langid.identify(table(spark, sf_dir, "documents"))
+    return told.select(F.col("doc").alias("doc_id"), "held_out", "lang_pred", F.round("score", 6).alias("score"))
+
+
+AUDIT_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+seen AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT part, text, {WORDS} AS words, coalesce(doc_id > first, false) AS again, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM t JOIN seen USING (text) LEFT JOIN l USING (doc_id)),
+f AS (SELECT part, good, toxic, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), again] AS fails FROM w),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+o AS (SELECT unnest({filteraudit.ORDERS}) AS filter_order),
+r AS (SELECT m.*, filter_order, list_min(list_filter([CASE WHEN fails[ascii(filter_order[k]) - 64] THEN k END for k in [1, 2, 3, 4, 5]], lambda k: k IS NOT NULL)) AS gone FROM m, o),
+s AS (SELECT part, filter_order, step, filter_order[step] AS letter,
+        coalesce(sum(n) FILTER (gone IS NULL OR gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (gone < step AND fails[ascii(filter_order[step]) - 64]), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails[ascii(filter_order[step]) - 64] AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+      FROM r, unnest([1, 2, 3, 4, 5]) u(step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM s
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+HARD_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT row_number() OVER () AS rid, * FROM e),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, b.vec_id AS other_id, b.label = a.label AS same, list_dot_product(a.vec, b.vec)::BIGINT AS score
+      FROM r a JOIN r b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+p AS (SELECT rid, anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY rid, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (rid) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op13_hard_negatives", HARD_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(table(spark, sf_dir, "embeddings"))
