@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 from clipweave.llm.common import pieces, worker_tables
 
 #: states kept by a transducer; contexts met later are read without making states
-MOST_STATES = 100_000
-#: pairs of neighbours whose check is remembered; more and they are forgotten
-MOST_PAIRS = 300_000
-#: words whose result is remembered (the ones met first, so nearly all frequent ones)
-MOST_WORDS = 300_000
+MOST_STATES = 30_000
+#: places for remembered checks of neighbours, 8 bytes each; a later check takes an earlier one's place
+PAIRS = 1 << 19
+#: words whose result is remembered (the ones met first, so nearly all frequent ones), and pieces beside them
+MOST_WORDS, MOST_PIECES = 120_000, 20_000
 #: longer pieces are read byte by byte each time
 LONGEST_WORD = 48
 
@@ -46,6 +47,25 @@ RUN = re.compile(r"\s ")
 UNKNOWN = 1 << 60
 
 
+class Remembered:
+    """Yes or no per pair of numbers in a flat table of fixed size: a pair stands in the place that its hash names."""
+
+    __slots__ = ("cells",)
+
+    def __init__(self) -> None:
+        self.cells = array("q", [-1]) * PAIRS
+
+    def get(self, a: int, b: int) -> bool | None:
+        pair = (a + 1) << 24 | b
+        cell = self.cells[(pair * 0x9E3779B1 >> 12) & (PAIRS - 1)]
+        return bool(cell & 1) if cell >> 1 == pair else None
+
+    def put(self, a: int, b: int, yes: bool) -> bool:
+        pair = (a + 1) << 24 | b
+        self.cells[(pair * 0x9E3779B1 >> 12) & (PAIRS - 1)] = pair << 1 | yes
+        return yes
+
+
 class State:
     """Live guesses: (token before, node in the token tree, tokens not yet emitted)."""
 
@@ -63,7 +83,7 @@ class Transducer:
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         self.bytes = {r: t for t, r in ranks.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits = Remembered()
         self.edges: dict[tuple[int, bool], list | None] = {}
         for word, rank in ranks.items():
             node = 0
@@ -76,7 +96,7 @@ class Transducer:
                 node = to
             self.token[node] = rank
         self.below: list[tuple | None] = self.few_below()
-        self.hopes: dict[tuple[int, int], bool] = {}
+        self.hopes = Remembered()
         self.states: dict[tuple, State] = {}
         self.start = self.state(((-1, 0, ()),))
 
@@ -100,12 +120,8 @@ class Transducer:
         below = self.below[node]
         if below is None:
             return True
-        known = self.hopes.get((before, node))
-        if known is None:
-            if len(self.hopes) > MOST_PAIRS:
-                self.hopes.clear()
-            known = self.hopes[before, node] = any(self.fit(before, token) for token in below)
-        return known
+        known = self.hopes.get(before, node)
+        return self.hopes.put(before, node, any(self.fit(before, token) for token in below)) if known is None else known
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts of the last merge inside a token; None if the merges don't give the token."""
@@ -140,10 +156,8 @@ class Transducer:
         They may not if, while both are built, some pair across the border has a rank below those
         that replace its halves (at equal ranks the pair further left is joined first).
         """
-        known = self.fits.get((a, b))
+        known = self.fits.get(a, b)
         if known is None:
-            if len(self.fits) > MOST_PAIRS:
-                self.fits.clear()
             first = self.edge(b, False)
             last = [] if a < 0 else self.edge(a, True)
             known = first is not None and last is not None
@@ -155,7 +169,7 @@ class Transducer:
                         break
                 if not known:
                     break
-            self.fits[a, b] = known
+            self.fits.put(a, b, known)
         return known
 
     def state(self, guesses: tuple) -> State:
@@ -208,7 +222,7 @@ class Transducer:
 
     def walk(self, piece: bytes) -> list[int]:
         """The same transducer read without making states, for contexts too rare to be kept."""
-        children, token_at, fits, hopes = self.children, self.token, self.fits, self.hopes
+        children, token_at, below, fits, hopes = self.children, self.token, self.below, self.fits.cells, self.hopes.cells
         ends, begins = [-1], [0]
         live = [(-1, 0, 0)]
         for i, byte in enumerate(piece, 1):
@@ -218,12 +232,17 @@ class Transducer:
                 to = children[node].get(byte)
                 if to is not None:
                     token = token_at[to]
-                    hope = hopes.get((before, to))
-                    if self.hope(before, to) if hope is None else hope:
+                    if below[to] is None:
                         onward.append((before, begin, to))
+                    elif below[to]:
+                        pair = (before + 1) << 24 | to
+                        cell = hopes[(pair * 0x9E3779B1 >> 12) & (PAIRS - 1)]
+                        if cell & 1 if cell >> 1 == pair else self.hope(before, to):
+                            onward.append((before, begin, to))
                     if token >= 0 and found < 0:
-                        fit = fits.get((before, token))
-                        if self.fit(before, token) if fit is None else fit:
+                        pair = (before + 1) << 24 | token
+                        cell = fits[(pair * 0x9E3779B1 >> 12) & (PAIRS - 1)]
+                        if cell & 1 if cell >> 1 == pair else self.fit(before, token):
                             found, begun = token, begin
             ends.append(found)
             begins.append(begun if found >= 0 else -1)
@@ -281,7 +300,7 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> str:
         ids = self.read(piece)
-        if len(piece) <= LONGEST_WORD and len(self) < MOST_WORDS:
+        if len(piece) <= LONGEST_WORD and len(self) < MOST_PIECES:
             self[piece] = ids
         return ids
 

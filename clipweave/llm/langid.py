@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipweave.llm.common import pieces, sums, worker_tables
+from clipweave.llm.common import packed_arcs, pieces, sized, worker_tables
 
 #: code points that a language is learned from at most, and that all together are
 REFERENCE, REFERENCES = 80_000, 800_000
@@ -68,7 +68,7 @@ def sample(docs: DataFrame, reference: int = REFERENCE, references: int = REFERE
     most = -(-size // part)
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("draw")), F.lit(1 << 40))
     rows = known.select(F.col("lang").cast("string").alias("lang"), text.alias("text"), F.col("doc_id").cast("long").alias("doc"), draw.alias("draw"))
-    rows = rows.join(counts, "lang").filter(F.col("draw") * F.col("count") < F.lit(4 * most * (1 << 40))).filter(has_letter(F.col("text")))
+    rows = rows.join(sized(counts), "lang").filter(F.col("draw") * F.col("count") < F.lit(4 * most * (1 << 40))).filter(has_letter(F.col("text")))
     chosen = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc", F.xxhash64("text")))).filter(F.col("place") <= most)
     clean = normalised(F.col("text"))
     begin = 1 + F.pmod(F.col("draw"), F.greatest(F.length(clean) - part, F.lit(1)))
@@ -123,35 +123,11 @@ class Automaton(NamedTuple):
         symbol = {x: i for i, x in enumerate(alphabet, 1)}
         letters = np.zeros(ord(alphabet[-1]) + 2 if alphabet else 1, np.uint16)
         letters[[ord(x) for x in alphabet]] = range(1, len(alphabet) + 1)
-        cells: list[int] = [-1] * (2 * len(step) + len(alphabet) + 1)
-        base, low, gap = [0] * len(step), 0, 0
-        # states with many arcs first, from a place that moves on where free cells get rare; those with one fill the gaps
-        for s in sorted(range(len(step)), key=lambda s: -len(step[s])):
-            marks = sorted(symbol[x] for x in step[s])
-            if len(marks) == 1:
-                while cells[gap] >= 0 or gap < marks[0]:
-                    gap += 1
-                b = gap - marks[0]
-            elif marks:
-                b = tried = low
-                while not all([cells[b + x] < 0 for x in marks]):
-                    b += 1
-                    if b + len(alphabet) >= len(cells):
-                        cells += [-1] * len(cells)
-                low = b if b - tried > 32 else low
-            else:
-                continue
-            base[s] = b
-            for x, to in step[s].items():
-                cells[b + symbol[x]] = s << 32 | to
-            if gap + 1 >= len(cells):
-                cells += [-1] * len(cells)
+        base, cells = packed_arcs([{symbol[x]: to for x, to in arcs.items()} for arcs in step], len(alphabet) + 1)
         first = np.zeros(len(alphabet) + 1, np.int64)
         for x, to in step[0].items():
             first[symbol[x]] = to
-        used = max((b for b in base), default=0) + len(alphabet) + 2
-        cells = (cells + [-1] * used)[:used]
-        return Automaton(letters, first, np.array(base, np.int64), np.array(cells, np.int64), len(text))
+        return Automaton(letters, first, base, cells, len(text))
 
     def phrases(self, points: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Phrases of each stretch; ``points`` has one column per stretch, longest first, ``active[t]`` of them reach row t."""
