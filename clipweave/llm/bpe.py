@@ -6,7 +6,8 @@ guesses token ends and checks neighbours reads any piece. It is determinised whi
 a state is the set of live guesses with what each has yet to emit, and what all guesses agree on
 is emitted at once, so the lookahead is at most the longest token.
 
-Defined cases: a null or empty text gives no tokens; rows are encoded one by one.
+Defined cases: a null or empty text gives no tokens; every row is encoded, repeated ones alike; a
+null doc_id stays null; extra input columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipweave.llm.common import pieces, worker_tables
+from clipweave.llm.common import packed_arcs, pieces, worker_tables
 
 #: states kept by a transducer; contexts met later are read without making states
 MOST_STATES = 30_000
 #: places for remembered checks of neighbours, 8 bytes each; a later check takes an earlier one's place
 PAIRS = 1 << 19
-#: words whose result is remembered (the ones met first, so nearly all frequent ones), and pieces beside them
-MOST_WORDS, MOST_PIECES = 120_000, 20_000
+#: words whose result is remembered (the ones met first, so nearly all frequent ones)
+MOST_WORDS = 150_000
+#: longer pieces are read alone, not side by side
+LONGEST_PIECE = 64
 #: longer pieces are read byte by byte each time
 LONGEST_WORD = 48
 
@@ -50,10 +53,11 @@ UNKNOWN = 1 << 60
 class Remembered:
     """Yes or no per pair of numbers in a flat table of fixed size: a pair stands in the place that its hash names."""
 
-    __slots__ = ("cells",)
+    __slots__ = ("cells", "flat")
 
     def __init__(self) -> None:
         self.cells = array("q", [-1]) * PAIRS
+        self.flat = np.frombuffer(self.cells, np.int64)
 
     def get(self, a: int, b: int) -> bool | None:
         pair = (a + 1) << 24 | b
@@ -80,32 +84,49 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.children: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
         self.bytes = {r: t for t, r in ranks.items()}
-        self.fits = Remembered()
+        self.fits, self.hopes = Remembered(), Remembered()
         self.edges: dict[tuple[int, bool], list | None] = {}
+        children: list[dict[int, int]] = [{}]
+        token = array("i", [-1])
         for word, rank in ranks.items():
             node = 0
             for b in word:
-                to = self.children[node].get(b)
+                to = children[node].get(b)
                 if to is None:
-                    to = self.children[node][b] = len(self.children)
-                    self.children.append({})
-                    self.token.append(-1)
+                    to = children[node][b] = len(children)
+                    children.append({})
+                    token.append(-1)
                 node = to
-            self.token[node] = rank
-        self.below: list[tuple | None] = self.few_below()
-        self.hopes = Remembered()
+            token[node] = rank
+        # the token tree in flat arrays, each twice: read one by one, and side by side
+        base, cells = packed_arcs(children, 256)
+        self.token, self.base, self.cells = token, array("q", base.tobytes()), array("q", cells.tobytes())
+        self.flat = np.frombuffer(token, np.int32), np.frombuffer(self.base, np.int64), np.frombuffer(self.cells, np.int64)
+        self.below: list[tuple | None] = self.few_below(children)
+        # every two tokens whose bytes together are a token, with its rank; edges of tokens met so far
+        pairs = sorted((ranks[t[:i]] << 24 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        self.joined = np.array([p for p, _ in pairs] or [-1], np.int64), np.array([r for _, r in pairs] or [UNKNOWN], np.int64)
+        self.rows = [self.no_edges() for _ in (False, True)]
         self.states: dict[tuple, State] = {}
         self.start = self.state(((-1, 0, ()),))
 
-    def few_below(self) -> list[tuple | None]:
+    def no_edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row per token, parts, ranks): row 0 is the start of a piece, -1, which has no parts and forbids nothing."""
+        rows, parts, until = np.full(max(self.ranks.values()) + 2, -1, np.int32), np.full((256, 4), -1), np.full((256, 4), -1)
+        rows[-1], until[0, 0] = 0, UNKNOWN
+        return rows, parts, until
+
+    def child(self, node: int, byte: int) -> int:
+        cell = self.cells[self.base[node] + byte]
+        return cell & 0xFFFFFFFF if cell >> 32 == node else -1
+
+    def few_below(self, children: list[dict[int, int]]) -> list[tuple | None]:
         """Tokens strictly below each node of the tree, None where they are more than ``FEW``."""
-        below: list[tuple | None] = [()] * len(self.children)
-        for node in range(len(self.children) - 1, -1, -1):
+        below: list[tuple | None] = [()] * len(children)
+        for node in range(len(children) - 1, -1, -1):
             found: tuple | None = ()
-            for to in self.children[node].values():
+            for to in children[node].values():
                 deeper = below[to]
                 if found is not None and deeper is not None:
                     found += deeper if self.token[to] < 0 else (self.token[to], *deeper)
@@ -183,8 +204,8 @@ class Transducer:
         """Advance all guesses by a byte and emit what they agree on."""
         live = []
         for before, node, out in state.guesses:
-            to = self.children[node].get(byte)
-            if to is not None:
+            to = self.child(node, byte)
+            if to >= 0:
                 token = self.token[to]
                 if self.hope(before, to):
                     live.append((before, to, out))
@@ -204,6 +225,19 @@ class Transducer:
         return arc
 
     def encode(self, piece: bytes) -> list[int]:
+        return self.encode_all([piece])[0]
+
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of every piece. Where a context is not kept as a state, the same transducer is read without making states."""
+        known: list = list(map(self.by_states, pieces))
+        rare = [k for k, ids in enumerate(known) if ids is None]
+        short = [k for k in rare if len(pieces[k]) <= LONGEST_PIECE]
+        for k, ids in zip(short, self.side_by_side([pieces[k] for k in short])):
+            known[k] = ids
+        return [self.walk(piece) if ids is None else ids for piece, ids in zip(pieces, known)]
+
+    def by_states(self, piece: bytes) -> list[int] | None:
+        """The determinised transducer, a new arc at a time; None if it would need more states than are kept."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
@@ -212,7 +246,7 @@ class Transducer:
             arc = state.next.get(byte)
             if arc is None:
                 if len(self.states) >= MOST_STATES:
-                    return self.walk(piece)
+                    return None
                 arc = self.step(state, byte)
             emitted, state = arc
             if emitted:
@@ -221,39 +255,99 @@ class Transducer:
         return ids
 
     def walk(self, piece: bytes) -> list[int]:
-        """The same transducer read without making states, for contexts too rare to be kept."""
-        children, token_at, below, fits, hopes = self.children, self.token, self.below, self.fits.cells, self.hopes.cells
-        ends, begins = [-1], [0]
-        live = [(-1, 0, 0)]
+        """Read without states, one piece: of the guesses that end at a byte, one alone fits what is before it."""
+        ends, begins, live = [-1], [0], [(-1, 0, 0)]
         for i, byte in enumerate(piece, 1):
-            onward, found = [], -1
-            for guess in live:
-                before, begin, node = guess
-                to = children[node].get(byte)
-                if to is not None:
-                    token = token_at[to]
-                    if below[to] is None:
+            onward, found, begun = [], -1, -1
+            for before, begin, node in live:
+                to = self.child(node, byte)
+                if to >= 0:
+                    if self.hope(before, to):
                         onward.append((before, begin, to))
-                    elif below[to]:
-                        pair = (before + 1) << 24 | to
-                        cell = hopes[(pair * 0x9E3779B1 >> 12) & (PAIRS - 1)]
-                        if cell & 1 if cell >> 1 == pair else self.hope(before, to):
-                            onward.append((before, begin, to))
-                    if token >= 0 and found < 0:
-                        pair = (before + 1) << 24 | token
-                        cell = fits[(pair * 0x9E3779B1 >> 12) & (PAIRS - 1)]
-                        if cell & 1 if cell >> 1 == pair else self.fit(before, token):
-                            found, begun = token, begin
+                    token = self.token[to]
+                    if token >= 0 and found < 0 and self.fit(before, token):
+                        found, begun = token, begin
             ends.append(found)
-            begins.append(begun if found >= 0 else -1)
+            begins.append(begun)
             if found >= 0:
                 onward.append((found, i, 0))
             live = onward
-        ids, at = [], len(piece)
-        while at:
-            ids.append(ends[at])
-            at = begins[at]
-        return ids[::-1]
+        return _back(ends, begins, len(piece))
+
+    def side_by_side(self, pieces: list[bytes]) -> list[list[int]]:
+        """Read without states, many short pieces a byte at a time: a guess is a piece, where its token begins, and a node."""
+        if not pieces:
+            return []
+        token, base, cells = self.flat
+        size = np.array([len(p) for p in pieces])
+        longest = int(size.max())
+        data = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in pieces), np.uint8).reshape(len(pieces), longest)
+        ends, begins = np.full((len(pieces), longest + 1), -1, np.int32), np.zeros((len(pieces), longest + 1), np.int16)
+        piece, begin, node = np.arange(len(pieces)), np.zeros(len(pieces), np.int16), np.zeros(len(pieces), np.int64)
+        for i in range(longest):
+            cell = cells[base[node] + data[piece, i]]
+            on = (cell >> 32 == node) & (size[piece] > i)
+            piece, begin, node = piece[on], begin[on], cell[on] & 0xFFFFFFFF
+            found = token[node]
+            at = np.flatnonzero(found >= 0)
+            at = at[self.fit_all(ends[piece[at], begin[at]], found[at])]
+            ends[piece[at], i + 1], begins[piece[at], i + 1] = found[at], begin[at]
+            piece = np.concatenate([piece, piece[at]])
+            begin, node = np.concatenate([begin, np.full(len(at), i + 1, np.int16)]), np.concatenate([node, np.zeros(len(at), np.int64)])
+        return [_back(e, b, n) for e, b, n in zip(ends.tolist(), begins.tolist(), size.tolist())]
+
+    def fit_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fit`` of many pairs: remembered ones side by side, each new one once."""
+        pair = (a.astype(np.int64) + 1) << 24 | b
+        cell = self.fits.flat[(pair * 0x9E3779B1 >> 12) & (PAIRS - 1)]
+        yes = (cell & 1).astype(bool)
+        new = np.flatnonzero(cell >> 1 != pair)
+        if len(new):
+            one, of = np.unique(pair[new], return_inverse=True)
+            fits = self.fit_new((one >> 24) - 1, one & 0xFFFFFF)
+            self.fits.flat[(one * 0x9E3779B1 >> 12) & (PAIRS - 1)] = one << 1 | fits
+            yes[new] = fits[of]
+        return yes
+
+    def fit_new(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fit`` of different pairs side by side, from the edges of their tokens as rows of numbers."""
+        last, first = self.edges_of(a, True), self.edges_of(b, False)
+        good = (last[1][:, 0] >= 0) & (first[1][:, 0] >= 0)
+        for i in range(last[0].shape[1]):
+            for j in range(first[0].shape[1]):
+                at = np.flatnonzero(good & (last[0][:, i] >= 0) & (first[0][:, j] >= 0))
+                if not len(at):
+                    break
+                key = last[0][at, i].astype(np.int64) << 24 | first[0][at, j]
+                spot = np.minimum(np.searchsorted(self.joined[0], key), len(self.joined[0]) - 1)
+                rank = np.where(self.joined[0][spot] == key, self.joined[1][spot], UNKNOWN)
+                good[at[(rank < last[1][at, i]) & (rank <= first[1][at, j])]] = False
+        return good
+
+    def edges_of(self, tokens: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, the ranks that replace them) of each token at one edge; parts end with -1, and a token
+        that its merges don't give has rank -1. The start of a piece (-1) has no parts."""
+        rows, parts, until = self.rows[right]
+        used = int(rows.max()) + 1
+        for token in np.unique(tokens[rows[tokens] < 0]).tolist():
+            known = self.edge(token, right) or []
+            width = max(parts.shape[1], len(known) + 1)
+            if used == len(parts) or width > parts.shape[1]:
+                grown = ((0, len(parts) * (used == len(parts))), (0, width - parts.shape[1]))
+                parts, until = np.pad(parts, grown, constant_values=-1), np.pad(until, grown, constant_values=-1)
+            parts[used, : len(known)], until[used, : len(known)] = [self.ranks[p] for p, _ in known], [r for _, r in known]
+            rows[token], used = used, used + 1
+        self.rows[right] = rows, parts, until
+        return parts[rows[tokens]], until[rows[tokens]]
+
+
+def _back(ends: list[int], begins: list[int], at: int) -> list[int]:
+    """Token ids from the end of a piece to its start, put in order."""
+    ids = []
+    while at:
+        ids.append(ends[at])
+        at = begins[at]
+    return ids[::-1]
 
 
 class Utf8Stream:
@@ -288,51 +382,99 @@ class Utf8Stream:
         return not self.rest
 
 
-class Pieces(dict):
-    """Piece of text -> its ids as text, for pieces seen before."""
-
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.transducer = transducer
-
-    def read(self, piece: str) -> str:
-        return " ".join(map(str, self.transducer.encode(piece.encode("utf-8"))))
-
-    def __missing__(self, piece: str) -> str:
-        ids = self.read(piece)
-        if len(piece) <= LONGEST_WORD and len(self) < MOST_PIECES:
-            self[piece] = ids
-        return ids
-
-
 class Words(dict):
-    """What stands between two single spaces -> the ids of it and of the space in front."""
+    """What stands between two single spaces -> the ids of it and of the space in front, as text.
+
+    ``read`` takes the texts of one batch: what is not remembered is encoded once for all of them.
+    """
 
-    def __init__(self, split: Callable[[str], list[str]], known: Pieces):
+    def __init__(self, split: Callable[[str], list[str]], transducer: Transducer):
         super().__init__()
-        self.split, self.known = split, known
+        self.split, self.transducer = split, transducer
+        self.names = [str(i) for i in range(max(transducer.bytes) + 1)]
+        #: ids of pieces, and of words that are not remembered, of this batch
+        self.pieces: dict[str, str] = {}
+        self.rare: dict[str, str] = {}
 
     def __missing__(self, word: str) -> str:
-        parts = self.split(" " + word)
-        # a word that is one piece is remembered here alone
-        ids = self.known.read(parts[0]) if len(parts) == 1 else " ".join(map(self.known.__getitem__, parts))
-        if len(word) <= LONGEST_WORD and len(self) < MOST_WORDS:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> str:
-        """A piece has a space only at its start or in a run of white space, so every single space
-        after other text begins a new piece, and texts can be cut there."""
+        return self.rare[word]
+
+    def learn(self, words: set[str], pieces: set[str]) -> None:
+        """Encode words and pieces that are not known yet."""
+        parts = dict(self.parted(words))
+        pieces = list(pieces.union(*parts.values()))
+        ids = self.transducer.encode_all([p.encode("utf-8") for p in pieces])
+        name = self.names.__getitem__
+        self.pieces = {p: " ".join(map(name, i)) for p, i in zip(pieces, ids)}
+        for word, of in parts.items():
+            known = self.pieces[of[0]] if len(of) == 1 else " ".join(map(self.pieces.__getitem__, of))
+            if len(word) <= LONGEST_WORD and len(self) < MOST_WORDS:
+                self[word] = known
+            else:
+                self.rare[word] = known
+
+    def parted(self, words: set[str]) -> Iterator[tuple[str, list[str]]]:
+        """The pieces of every word behind a space: words without white space are split in one pass, cut where a piece has a space."""
+        plain = [word for word in words if word.split() == [word]]
+        of: list[str] = []
+        at = -1
+        for piece in self.split(" ".join(["", *plain])):
+            if piece[0] == " ":
+                if of:
+                    yield plain[at], of
+                at, of = at + 1, []
+            of.append(piece)
+        if of:
+            yield plain[at], of
+        for word in words.difference(plain):
+            yield word, self.split(" " + word)
+
+    def blocks(self, text: str) -> Iterator[tuple[list[str], list[str]]]:
+        """(pieces, words) of a text, cut in blocks. A piece has a space only at its start or in a run
+        of white space, so every single space after other text begins a new piece, and texts can be cut there."""
         if not text or RUN.search(text):
-            return " ".join(map(self.known.__getitem__, self.split(text)))
-        done, at = [], 0
+            yield self.split(text), []
+            return
+        at = 0
         while at >= 0:
             cut = text.find(" ", at + BLOCK)
-            first, *rest = text[at : cut if cut >= 0 else len(text)].split(" ")
-            begun = [self[first]] if at else map(self.known.__getitem__, self.split(first))
-            done.append(" ".join([*begun, *map(self.__getitem__, rest)]))
+            words = text[at : cut if cut >= 0 else len(text)].split(" ")
+            yield ([], words) if at else (self.split(words[0]), words[1:])
             at = cut + 1 if cut >= 0 else -1
-        return " ".join(done)
+
+    def read(self, texts: list[str]) -> list[str]:
+        out: list[str] = []
+        for group in _groups(texts):
+            pieces, words = set(), set()
+            for text in group:
+                for some, more in self.blocks(text):
+                    pieces.update(some)
+                    words.update(more)
+            self.learn(words - self.keys(), pieces)
+            for text in group:
+                ids: list[str] = []
+                for some, more in self.blocks(text):
+                    ids += map(self.pieces.__getitem__, some)
+                    ids += map(self.__getitem__, more)
+                out.append(" ".join(ids))
+            self.pieces, self.rare = {}, {}
+        return out
+
+    def encode(self, text: str) -> str:
+        return self.read([text])[0]
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of about ``PIECE`` code points together."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= PIECE:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -346,7 +488,7 @@ def _compiled(data: bytes, pattern: str) -> tuple:
     def make() -> tuple:
         transducer = Transducer(read_ranks(data))
         tokens = pa.array([transducer.bytes.get(i, b"") for i in range(max(transducer.bytes) + 1)], pa.binary())
-        return Words(regex.compile(pattern).findall, Pieces(transducer)), tokens
+        return Words(regex.compile(pattern).findall, transducer), tokens
 
     return worker_tables("bpe", (hashlib.sha256(data).hexdigest(), pattern), make)
 
@@ -389,14 +531,15 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = Fals
         words, tokens = _compiled(shared.value, pattern)
         for batch in pieces(batches, "text", PIECE):
             texts = [text or "" for text in batch.column(1).to_pylist()]
-            ids = [words.encode(text) for text in texts]
+            ids = words.read(texts)
             out: list[tuple] = []
             for text, row, data in zip(texts, ids, token_bytes(pa.array(ids, pa.string()), tokens)):
-                same, at = True, 0
+                same, at, decoded = True, 0, hashlib.sha256()
                 for part in streamed(data):
+                    decoded.update(part.encode())
                     same, at = same and text.startswith(part, at), at + len(part)
                 sha = hashlib.sha256(row.encode()).hexdigest()
-                one = (row.count(" ") + 1 if row else 0, sha, hashlib.sha256(data).hexdigest(), same and at == len(text))
+                one = (row.count(" ") + 1 if row else 0, sha, decoded.hexdigest(), same and at == len(text))
                 out.append((*one, [int(x) for x in row.split()]) if keep_ids else one)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))], names)

@@ -123,3 +123,35 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def packed_arcs(step: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, cells) of an automaton whose state s reads symbol x < ``symbols`` if ``cells[base[s] + x] >> 32`` is s.
+
+    The low half of that cell is the next state. States with many arcs are placed first, from a
+    place that moves on where free cells get rare; those with one arc fill the gaps.
+    """
+    cells: list[int] = [-1] * (2 * len(step) + symbols)
+    base, low, gap = [0] * len(step), 0, 0
+    for s in sorted(range(len(step)), key=lambda s: -len(step[s])):
+        marks = list(step[s])
+        if len(marks) == 1:
+            while cells[gap] >= 0 or gap < marks[0]:
+                gap += 1
+            b = gap - marks[0]
+        elif marks:
+            b = tried = low
+            while not all([cells[b + x] < 0 for x in marks]):
+                b += 1
+                if b + symbols >= len(cells):
+                    cells += [-1] * len(cells)
+            low = b if b - tried > 32 else low
+        else:
+            continue
+        base[s] = b
+        for x, to in step[s].items():
+            cells[b + x] = s << 32 | to
+        if max(gap, low) + symbols >= len(cells):
+            cells += [-1] * len(cells)
+    used = max(base, default=0) + symbols
+    return np.array(base, np.int64), np.array((cells + [-1] * used)[:used], np.int64)

@@ -55,6 +55,12 @@ def test_odd_rows_everywhere(spark, odd, none):
     assert minhash.deduplicate(odd).columns == odd.columns and minhash.near_duplicates(none).count() == 0
     assert pii.find(odd).count() == len(ODD) and pii.find(none).count() == 0
     assert linededup.apply(odd).columns == odd.columns and linededup.marked(none).count() == 0
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.encode(odd, *vocabulary).collect()
+    assert len(coded) == len(ODD) and all(r.round_trip for r in coded) and bpe.encode(none, *vocabulary).count() == 0
+    assert {(r.doc_id, r.n_tokens) for r in coded if r.doc_id in (1, 2)} == {(1, 0), (2, 0)}
     assert substrings.dedup(odd).count() == len(ODD) and substrings.dedup(none).count() == 0
     items = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f"), (3, "again same")], "item_id long, text string")
     assert {(r.doc, r.item_id) for r in decontam.contaminated(odd, items).collect()} == {(5, 3)}
@@ -138,13 +144,14 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = bpe.read_ranks(f.read())
     public = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    words = bpe.Words(regex.compile(public_tokenizers.PATTERN).findall, bpe.Pieces(bpe.Transducer(ranks)))
+    words = bpe.Words(regex.compile(public_tokenizers.PATTERN).findall, bpe.Transducer(ranks))
     random.seed(7)
     parts = ["a", "word", "é漢", "it's", "12345", "\n", "\nx", "--", "", "y\t"]
     texts = ["", " ", "a ", " a", "  ", *[" ".join(random.choices(parts, k=random.randint(1, 40))) for _ in range(200)]]
     for block in (1, 2, 7, 50):
         monkeypatch.setattr(bpe, "BLOCK", block)
-        assert [words.encode(t) for t in texts] == [" ".join(map(str, public.encode_ordinary(t))) for t in texts]
+        want = [" ".join(map(str, public.encode_ordinary(t))) for t in texts]
+        assert [words.encode(t) for t in texts] == want and words.read(texts) == want
 
 
 def test_transducer_without_kept_states(monkeypatch):
@@ -152,8 +159,12 @@ def test_transducer_without_kept_states(monkeypatch):
     kept = bpe.Transducer(ranks)
     pieces = ["".join(random.choices("abc", k=random.randint(1, 20))).encode() for _ in range(300)]
     first = [kept.encode(p) for p in pieces]
+    assert kept.side_by_side(pieces) == [kept.walk(p) for p in pieces] == first
     monkeypatch.setattr(bpe, "MOST_STATES", 0)
-    assert [bpe.Transducer(ranks).walk(p) if p not in ranks else [ranks[p]] for p in pieces] == first
+    monkeypatch.setattr(bpe, "PAIRS", 4)  # nearly every check is made anew
+    monkeypatch.setattr(bpe, "LONGEST_PIECE", 10)
+    fresh = bpe.Transducer(ranks)
+    assert fresh.side_by_side(pieces) == [fresh.walk(p) for p in pieces] == fresh.encode_all(pieces) == first
 
 
 def test_utf8_in_any_cut():
