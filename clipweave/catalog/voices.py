@@ -11,6 +11,7 @@ from clipweave.functions import vectors as FV
 from clipweave.operators import vectors as V
 from clipweave.plans.identify import identify
 from clipweave.plans.nearest import best_matches
+from clipweave.plans.scan import number_rows
 
 COS = "list_dot_product({a}, {b}) / ((sqrt(list_dot_product({a}, {a})) + 1e-9) * (sqrt(list_dot_product({b}, {b})) + 1e-9))"
 QUERYSET = """
@@ -238,22 +239,25 @@ def mixed_lines(spark: SparkSession, d: str) -> DataFrame:
     return V.mixed_lines(lines, runs).select("item_id", "ord", "side", "other_label", "other_ms")
 
 
+def _cues(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("project_id", "item_id", "ord").agg(F.min("ws").alias("start_ms"), F.max("we").alias("end_ms"))
+
+
 def _speech_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Three windows per cue, from the given vectors."""
+    """Three windows per cue, from the given vectors; four projects of items."""
     w = _windows(spark, d)
     start = F.col("cue") * 3000
     windows = w.select(
-        "item_id", F.col("cue").alias("ord"), (start + F.col("ord") % 3 * 500).alias("ws"),
-        (start + F.col("ord") % 3 * 500 + 1400).alias("we"), "emb",
+        (F.col("item_id") % 4).alias("project_id"), "item_id", F.col("cue").alias("ord"),
+        (start + F.col("ord") % 3 * 500).alias("ws"), (start + F.col("ord") % 3 * 500 + 1400).alias("we"), "emb",
     )
-    cues = windows.groupBy("item_id", "ord").agg(F.min("ws").alias("start_ms"), F.max("we").alias("end_ms"))
-    return cues, windows
+    return _cues(windows), windows
 
 
 @query("identify_speakers", "EMB-15", "WIN-1", "AGG-3")
 def identify_speakers(spark: SparkSession, d: str) -> DataFrame:
     got = identify(*_speech_windows(spark, d))
-    return got.lines.groupBy("item_id").agg(
+    return got.lines.groupBy("project_id", "item_id").agg(
         F.count(F.lit(1)).alias("total"), F.count("label").alias("labelled"),
         F.count_if("mixed").alias("mixed"), F.countDistinct("label").alias("speakers"),
     )
@@ -264,6 +268,44 @@ def identify_turns(spark: SparkSession, d: str) -> DataFrame:
     return identify(*_speech_windows(spark, d)).turns
 
 
+def _planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cues of one voice each: three vectors of an item and label in a row; four projects reuse item ids."""
+    v = A.vectors(spark, d)
+    v = number_rows(v, ["item_id", "label"], ["ord"], "k").withColumn("k", F.col("k") - 1)
+    start = (F.floor(F.col("k") / 3) * 10 + F.col("label")) * 3000
+    windows = v.select(
+        (F.col("item_id") % 4).alias("project_id"), F.floor(F.col("item_id") / 4).alias("item_id"),
+        (F.floor(F.col("k") / 3) * 10 + F.col("label")).alias("ord"), (start + F.col("k") % 3 * 500).alias("ws"),
+        (start + F.col("k") % 3 * 500 + 1400).alias("we"), "emb", "label",
+    )
+    return _cues(windows), windows.drop("label"), windows
+
+
+_PLANTED = ["""
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, label ORDER BY ord) - 1 AS k FROM vectors),
+win AS (SELECT item_id % 4 AS project_id, item_id // 4 AS item_id, (k // 3) * 10 + label AS ord, ((k // 3) * 10 + label) * 3000 + (k % 3) * 500 AS ws, label FROM k),
+cue AS (SELECT project_id, item_id, ord, any_value(label) AS voice, min(ws) AS start_ms, max(ws) + 1400 AS end_ms FROM win GROUP BY 1, 2, 3),
+first AS (SELECT project_id, voice, row_number() OVER (PARTITION BY project_id ORDER BY min(struct_pack(i := item_id, s := start_ms))) AS n FROM cue GROUP BY 1, 2)"""]
+
+
+@query("identify_planted", "EMB-15", "AGG-3", "WIN-1", "INT-21", oracle=A.sql(A.VECTORS, *_PLANTED, body="""
+SELECT project_id, item_id, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms, 'speaker' || n AS label FROM cue JOIN first USING (project_id, voice)"""))
+def identify_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of the joint identification where every cue has one planted voice: labels by first appearance in the project."""
+    cues, windows, _ = _planted(spark, d)
+    return identify(cues, windows).turns
+
+
+@query("cluster_planted", "EMB-9", "EMB-11", "EMB-12", oracle=A.sql(A.VECTORS, body="""
+SELECT item_id % 4 AS project_id, vec_id AS ord,
+  (dense_rank() OVER (PARTITION BY item_id % 4 ORDER BY min_id) - 1)::INTEGER AS cluster
+FROM (SELECT *, min(vec_id) OVER (PARTITION BY item_id % 4, label) AS min_id FROM vectors)"""))
+def cluster_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Every line's cluster: the planted voices of a project, numbered by first appearance."""
+    rows = A.vectors(spark, d).select((F.col("item_id") % 4).alias("project_id"), F.col("vec_id").alias("ord"), "emb")
+    return V.cluster_lines(rows, ["project_id"]).select("project_id", "ord", "cluster")
+
+
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     """Per item (as project) and label: the label's mean vector of the queries."""
     made = V.centroids(A.vectors(spark, d), ["item_id", "label"])

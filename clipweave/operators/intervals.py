@@ -524,7 +524,7 @@ def silence_islands(frames: DataFrame, items: DataFrame, *, hop: int = 20, frame
     )
 
 
-def emit_turns(lines: DataFrame) -> DataFrame:
+def emit_turns(lines: DataFrame, item: tuple[str, ...] = ("item_id",)) -> DataFrame:
     """Cue labels to turns; a mixed cue becomes two turns at its split point.
 
     ``lines``: item_id, ord, start_ms, end_ms, label, side ('pre' | 'post' | null),
@@ -540,6 +540,6 @@ def emit_turns(lines: DataFrame) -> DataFrame:
     )
     return (
         lines.filter("label IS NOT NULL")
-        .select("item_id", "ord", F.posexplode(rows).alias("part", "t"))
-        .select("item_id", "ord", "part", "t.start_ms", "t.end_ms", "t.label")
+        .select(*item, "ord", F.posexplode(rows).alias("part", "t"))
+        .select(*item, "ord", "part", "t.start_ms", "t.end_ms", "t.label")
     )

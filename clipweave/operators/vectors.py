@@ -17,12 +17,14 @@ from pyspark.sql import types as T
 from clipweave.functions.vectors import EPS, cosine, minus, unit
 from clipweave.plans.fold import _fresh, ordered_fold
 from clipweave.plans.frames import plain_strings
-from clipweave.plans.nearest import GROUP_ROWS, POOL_VALUES, best_matches
+from clipweave.plans.nearest import BLOCK, GROUP_ROWS, POOL_VALUES, TILE, best_matches
 from clipweave.plans.scan import neighbour, number_rows, prefix_scan, running_sum
 from clipweave.session import setting
 
 #: clusters of a group that one task joins to the end; more are joined in rounds first, with the same result
 EXACT_LINES = 4096
+#: decimal places of a similarity; what is equal to that place is a tie, on every route
+DIGITS = 12
 #: heights where the tree is cut: by silhouette, and where none decides with too few or too many clusters
 CUTS = [float(t) for t in np.arange(0.04, 0.94, 0.02)]
 LADDER = (0.50, 0.45, 0.40, 0.35, 0.30, 0.25, 0.20, 0.15, 0.10, 0.05)
@@ -62,23 +64,23 @@ def trimmed_mean(windows: DataFrame, keys: list[str], order: str, emb: str = "em
     )
 
 
-def subtract_item_mean(cues: DataFrame, windows: DataFrame | None = None, min_cues: int = 3
-                       ) -> tuple[DataFrame, DataFrame | None]:
+def subtract_item_mean(cues: DataFrame, windows: DataFrame | None = None, min_cues: int = 3, *,
+                       item: tuple[str, ...] = ("item_id",)) -> tuple[DataFrame, DataFrame | None]:
     """Remove each item's mean cue vector where it has at least ``min_cues`` of them.
 
     Cue vectors are scaled to unit length afterwards, window vectors are not.
     """
     mean = (
-        cues.filter(F.col("emb").isNotNull()).groupBy("item_id")
+        cues.filter(F.col("emb").isNotNull()).groupBy(*item)
         .agg(vector_mean("emb").alias("_mu"), F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= min_cues).drop("_n")
     )
-    shifted = cues.join(mean, "item_id", "left").withColumn(
+    shifted = cues.join(mean, list(item), "left").withColumn(
         "emb", F.when(F.col("_mu").isNull(), F.col("emb")).otherwise(unit(minus(F.col("emb"), F.col("_mu"))))
     ).drop("_mu")
     if windows is None:
         return shifted, None
-    moved = windows.join(mean, "item_id", "left").withColumn(
+    moved = windows.join(mean, list(item), "left").withColumn(
         "emb", F.when(F.col("_mu").isNull(), F.col("emb")).otherwise(minus(F.col("emb"), F.col("_mu")))
     ).drop("_mu")
     return shifted, moved
@@ -126,7 +128,8 @@ def cluster_lines(rows: DataFrame, keys: list[str], *, exact_lines: int = EXACT_
     silhouette is best. Clusters are (sum, count) rows: average linkage needs nothing else.
     Equal vectors start as one cluster. While a group has more than ``exact_lines`` clusters,
     all mutual nearest pairs merge in rounds of joins; average linkage is reducible, so this
-    gives the same tree as one merge at a time. One task then makes the last merges.
+    gives the same tree as one merge at a time. One task then makes the last merges. Both ways
+    call two distances equal that agree to ``DIGITS`` places and prefer the cluster seen first.
     """
     from clipweave.session import cut
 
@@ -161,26 +164,72 @@ def vector_sum(col: str) -> Column:
     return vector_to_array(Summarizer.sum(array_to_vector(F.col(col))))
 
 
+def _similarities(sums: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Mean similarity of the members of two clusters, for all pairs of rows."""
+    return np.round((sums / n[:, None]) @ (other / m[:, None]).T, DIGITS)
+
+
+def nearest_in_tiles(search: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, parent, sim): the nearest other cluster of each searching one; the smaller ``ord`` wins ties.
+
+    Searching rows and clusters of a group are dealt to blocks by a hash, and every block of the
+    one meets every block of the other in a task of its own; only winners leave the tiles.
+    """
+    size = setting(search.sparkSession, "poolBlock", BLOCK)
+    blocks = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+    counts = blocks(search, "_p").join(blocks(clusters, "_q"), keys)
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    own = lambda name: F.pmod(F.xxhash64("ord"), F.col(name))
+    spot, columns = [*keys, "_i", "_j"], [*keys, "ord", "s", "n"]
+    left = search.select(*columns).join(counts, keys).withColumn("_i", own("_p")).withColumn("_j", every("_q"))
+    right = clusters.select(*columns).join(counts, keys).withColumn("_j", own("_q")).withColumn("_i", every("_p"))
+    kind = search.schema["ord"].dataType
+    schema = T.StructType([
+        *[search.schema[c] for c in keys], T.StructField("ord", kind), T.StructField("parent", kind),
+        T.StructField("sim", T.DoubleType()),
+    ])
+
+    def best(_key: tuple, rows: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        out = rows[[*keys, "ord"]].assign(parent=rows["ord"], sim=np.nan)
+        if len(rows) and len(pool):
+            pool = pool.sort_values("ord", kind="stable")
+            names, sums, n = pool["ord"].to_numpy(), np.stack(pool["s"].to_list()), pool["n"].to_numpy(float)
+            own, w, ords = np.stack(rows["s"].to_list()), rows["n"].to_numpy(float), rows["ord"].to_numpy()
+            step, found = max(1, TILE // len(names)), []
+            for at in range(0, len(own), step):
+                sims = _similarities(own[at : at + step], w[at : at + step], sums, n)
+                sims[ords[at : at + step, None] == names[None, :]] = -np.inf
+                first = sims.argmax(axis=1)
+                found.append((names[first], sims[np.arange(len(first)), first]))
+            out["parent"], out["sim"] = (np.concatenate(c) for c in zip(*found))
+            out = out[np.isfinite(out["sim"])]
+        return plain_strings(out[schema.fieldNames()])
+
+    tiles = left.groupBy(*spot).cogroup(_fresh(right).groupBy(*spot)).applyInPandas(best, schema)
+    winner = F.max_by(F.struct("parent", "sim"), F.struct(F.col("sim"), -F.col("parent"))).alias("b")
+    return tiles.groupBy(*keys, "ord").agg(winner).select(*keys, "ord", "b.parent", "b.sim")
+
+
 def linkage_tree(units: DataFrame, keys: list[str], most: int) -> DataFrame:
     """The average-linkage tree as rows (keys, ord, parent, h): ``ord`` joins ``parent`` at height ``h``.
 
     ``units``: keys, ord, s (sum of unit vectors), n. A cluster is named by its smallest ``ord``.
+    Each cluster of a group above ``most`` keeps its nearest neighbour from round to round. In a
+    round all mutual neighbours merge; only the merged clusters and those whose neighbour merged
+    search again, as average linkage brings nobody closer than its nearest was.
     """
     from clipweave.session import cut
 
     clusters, tree = cut(units), []
     kind = units.schema["ord"].dataType
+    near, search = None, clusters
     while True:
-        busy = clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > most).drop("_m")
+        busy = cut(clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > most).drop("_m"))
         if not busy.limit(1).count():
             break
-        n = F.col("n")
-        pool = clusters.join(busy, keys, "left_semi").select(
-            *keys, "ord", F.col("ord").cast("string").alias("char_id"), F.transform("s", lambda v: v / n).alias("emb")
-        )
-        got = best_matches(pool, pool, keys=keys, k=2, scaled=False)
-        other = F.filter("matches", lambda m: m["char_id"] != F.col("char_id"))[0]
-        near = cut(got.select(*keys, "ord", other["char_id"].cast(kind).alias("parent"), other["sim"].alias("sim")))
+        pool = clusters.join(busy, keys, "left_semi")
+        found = nearest_in_tiles(search.join(busy, keys, "left_semi"), pool, keys)
+        near = cut(found if near is None else near.join(busy, keys, "left_semi").unionByName(found))
         back = near.select(*keys, F.col("ord").alias("parent"), F.col("parent").alias("ord"))
         pairs = near.join(back, [*keys, "ord", "parent"]).filter("parent < ord")
         # rounding may leave a group without a mutual pair: its closest one merges
@@ -192,6 +241,11 @@ def linkage_tree(units: DataFrame, keys: list[str], most: int) -> DataFrame:
         tree.append(pairs)
         joined = clusters.join(pairs, [*keys, "ord"], "left").withColumn("ord", F.coalesce("parent", "ord"))
         clusters = cut(joined.groupBy(*keys, "ord").agg(vector_sum("s").alias("s"), F.sum("n").alias("n")))
+        moved = pairs.select(*keys, F.explode(F.array("ord", "parent")).alias("ord"))
+        lost = near.join(moved.withColumnRenamed("ord", "parent"), [*keys, "parent"], "left_semi").select(*keys, "ord")
+        again = cut(moved.union(lost).distinct())
+        near = near.join(again, [*keys, "ord"], "left_anti")
+        search = clusters.join(again, [*keys, "ord"], "left_semi")
         gc.collect()  # lets Spark drop the files of the rounds before
     schema = T.StructType([
         *[units.schema[c] for c in keys], T.StructField("ord", kind), T.StructField("parent", kind),
@@ -343,7 +397,10 @@ def _plain_cut(clusters: Callable[[float], int], max_k: int, min_k: int, thresho
 
 
 def average_linkage(sums: np.ndarray, n: np.ndarray) -> tuple[list[float], list[tuple[int, int]]]:
-    """Nearest-neighbour chain; the mean distance of A and B is 1 - S_A.S_B / (n_A n_B)."""
+    """Nearest-neighbour chain; the mean distance of A and B is 1 - S_A.S_B / (n_A n_B).
+
+    A chain goes on to the nearest cluster, the first one among equals, until two name each other.
+    """
     s, w = sums.copy(), n.copy()
     alive = np.ones(len(w), bool)
     heights, joins, chain = [], [], []
@@ -352,13 +409,12 @@ def average_linkage(sums: np.ndarray, n: np.ndarray) -> tuple[list[float], list[
             chain.append(int(np.flatnonzero(alive)[0]))
         while True:
             top = chain[-1]
-            d = 1.0 - (s @ s[top]) / (w * w[top])
+            d = 1.0 - np.round((s @ s[top]) / (w * w[top]), DIGITS)
             d[~alive] = np.inf
             d[top] = np.inf
             near = int(np.argmin(d))
-            if len(chain) > 1 and d[chain[-2]] <= d[near]:
+            if near in chain:  # the one before, or another one that only rounding sets before it
                 near = chain[-2]
-            if len(chain) > 1 and near == chain[-2]:
                 break
             chain.append(near)
         a, b = sorted((chain.pop(), chain.pop()))
@@ -433,43 +489,46 @@ def _merge_twins(sums: np.ndarray, lab: np.ndarray, limit: float, max_k: int) ->
 
 # --- sequence smoothing -------------------------------------------------------
 
-def smooth_labels(lines: DataFrame, cents: DataFrame, switch_cost: float = 0.05) -> DataFrame:
+def smooth_labels(lines: DataFrame, cents: DataFrame, switch_cost: float = 0.05, *,
+                  item: tuple[str, ...] = ("item_id",), project: tuple[str, ...] = ()) -> DataFrame:
     """Most likely label sequence per item: similarity to centroids minus switches.
 
-    ``lines``: item_id, ord, label (the vote), emb; ``cents``: label, ord, centroid. Only
-    lines with a vector take part, and only in items that have at least three.
+    ``lines``: item, ord, label (the vote), emb; ``cents``: project, label, ord, centroid. Only
+    lines with a vector take part, and only in items that have at least three. The labels of a
+    project are one row that meets its lines, so projects may have any labels of their own.
     """
     from clipweave.session import cut
 
-    names = [r["label"] for r in cents.orderBy("ord").select("label").collect()]
-    k = len(names)
-    pool = cents.select(F.col("label").alias("char_id"), "ord", F.col("centroid").alias("emb"))
+    item, project = list(item), list(project)
+    one = project or ["_one"]
+    whole = cents if project else cents.withColumn("_one", F.lit(0))
+    table = whole.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("ord"), F.col("label").cast("string").alias("label"), unit(F.col("centroid").cast("array<double>")).alias("u")
+    ))).alias("_table"))
     voiced = lines.filter(F.col("emb").isNotNull())
-    enough = voiced.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 3").drop("_n")
-    scored = best_matches(voiced.join(enough, "item_id").select("item_id", "ord", "emb"), pool, keys=[], k=k)
-    at = F.create_map(*[x for i, nm in enumerate(names) for x in (F.lit(str(nm)), F.lit(i))])
-    scored = scored.select(
-        "item_id", "ord",
-        F.transform(F.array_sort(F.transform("matches", lambda m: F.struct(at[m["char_id"]].alias("i"), m["sim"]))),
-                    lambda x: x["sim"]).alias("sims"),
-    )
+    enough = voiced.groupBy(*item).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 3").drop("_n")
+    rows = voiced.join(enough, item, "left_semi").select(
+        *item, "ord", unit(F.col("emb").cast("array<double>")).alias("_u"), *([] if project else [F.lit(0).alias("_one")])
+    ).join(table, one)
+    product = lambda c: F.aggregate(F.zip_with("_u", c["u"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scored = cut(rows.select(*item, "ord", F.transform("_table", product).alias("sims")))
 
     def forward(rows: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str | None]:
         v = None if state is None else np.array(json.loads(state))
         back, best = [], []
-        stay = np.full((k, k), -switch_cost)
-        np.fill_diagonal(stay, 0.0)
         for sims in rows["sims"]:
+            own = np.arange(len(sims))
             if v is None:
-                v, b = np.asarray(sims, float), np.zeros(k, int)
-            else:
-                via = v[:, None] + stay
-                b = via.argmax(axis=0)
-                v = np.asarray(sims, float) + via[b, np.arange(k)]
+                v, b = np.asarray(sims, float), np.zeros(len(sims), int)
+            else:  # stay, or come from the best one at the price of a switch; the first of equals
+                top = int(v.argmax())
+                away = v[top] - switch_cost
+                b = np.where(v > away, own, np.where(v == away, np.minimum(own, top), top))
+                v = np.asarray(sims, float) + np.maximum(v, away)
             v = v - v.max()  # only differences matter, and they stay comparable between cells
             back.append(b.tolist())
             best.append(int(v.argmax()))
-        out = rows[["item_id", "ord"]].copy()
+        out = rows[[*item, "ord"]].copy()
         out["back"], out["best"] = back, best
         return out, None if v is None else json.dumps([round(float(z), 9) for z in v])
 
@@ -480,23 +539,22 @@ def smooth_labels(lines: DataFrame, cents: DataFrame, switch_cost: float = 0.05)
             j = int(best) if j is None else j
             path.append(j)
             j = int(back[j])
-        out = rows[["item_id", "ord"]].copy()
+        out = rows[[*item, "ord"]].copy()
         out["state"] = path
         return out, None if j is None else str(j)
 
-    item, order = (scored.schema[c].dataType.simpleString() for c in ("item_id", "ord"))
-    fwd = cut(ordered_fold(scored, ["item_id"], ["ord"], forward,
-                           f"item_id {item}, ord {order}, back array<int>, best int"))
-    path = ordered_fold(fwd, ["item_id"], ["ord"], backward,
-                        f"item_id {item}, ord {order}, state int", reverse=True)
-    label = F.get(F.array(*[F.lit(nm) for nm in names]), F.col("state"))
-    smoothed = path.select("item_id", "ord", label.alias("_s"))
-    return lines.join(smoothed, ["item_id", "ord"], "left").withColumn(
-        "smoothed", F.coalesce("_s", "label")
+    at = ", ".join(f"{c} {scored.schema[c].dataType.simpleString()}" for c in [*item, "ord"])
+    fwd = cut(ordered_fold(scored, item, ["ord"], forward, f"{at}, back array<int>, best int"))
+    path = ordered_fold(fwd, item, ["ord"], backward, f"{at}, state int", reverse=True)
+    path = path if project else path.withColumn("_one", F.lit(0))
+    smoothed = path.join(table, one).select(*item, "ord", F.col("_table")[F.col("state")]["label"].alias("_s"))
+    return lines.join(smoothed, [*item, "ord"], "left").withColumn(
+        "smoothed", F.coalesce("_s", F.col("label").cast("string"))
     ).drop("_s")
 
 
-def mixed_lines(lines: DataFrame, runs: DataFrame, min_ms: int = 1000, min_share: float = 0.30) -> DataFrame:
+def mixed_lines(lines: DataFrame, runs: DataFrame, min_ms: int = 1000, min_share: float = 0.30, *,
+                item: tuple[str, ...] = ("item_id",)) -> DataFrame:
     """Does a line start or end with a long run of its neighbour's voice?
 
     ``lines``: item_id, ord, start_ms, end_ms, label (smoothed, null if unknown);
@@ -504,10 +562,10 @@ def mixed_lines(lines: DataFrame, runs: DataFrame, min_ms: int = 1000, min_share
     """
     from clipweave.plans.scan import plan_cells
 
-    cells = plan_cells(lines, ["item_id"], F.col("ord"))
-    near = prefix_scan(lines, ["item_id"], ["ord"], cells=cells, _pl=neighbour(F.col("label")))
-    near = prefix_scan(near, ["item_id"], ["ord"], cells=cells, reverse=True, _nl=neighbour(F.col("label")))
-    keys = ["item_id", "ord"]
+    cells = plan_cells(lines, list(item), F.col("ord"))
+    near = prefix_scan(lines, list(item), ["ord"], cells=cells, _pl=neighbour(F.col("label")))
+    near = prefix_scan(near, list(item), ["ord"], cells=cells, reverse=True, _nl=neighbour(F.col("label")))
+    keys = [*item, "ord"]
     sides = near.select(*keys, "label", "_pl", "_nl").withColumnRenamed("label", "_own")
     r = runs.select(*keys, "part", "label", (F.col("end_ms") - F.col("start_ms")).alias("_d")).join(sides, keys)
     run_cells = plan_cells(r, keys, F.col("part"))

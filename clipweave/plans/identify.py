@@ -15,9 +15,9 @@ from clipweave.session import cut
 
 @dataclass
 class Identified:
-    lines: DataFrame  # item_id, ord, label, mixed
-    turns: DataFrame  # item_id, start_ms, end_ms, label
-    centroids: DataFrame  # label, ord, centroid in the original space
+    lines: DataFrame  # project_id, item_id, ord, start_ms, end_ms, label, mixed
+    turns: DataFrame  # project_id, item_id, start_ms, end_ms, label
+    centroids: DataFrame  # project_id, label, ord, centroid in the original space
 
 
 def number_by_appearance(rows: DataFrame, keys: list[str], group: str, order: list[str], name: str) -> DataFrame:
@@ -38,56 +38,62 @@ def number_by_appearance(rows: DataFrame, keys: list[str], group: str, order: li
     return rows.join(numbered, [*keys, group], "left")
 
 
+PROJECT = ("project_id",)
+ITEM = ("project_id", "item_id")
+
+
 def identify(cues: DataFrame, windows: DataFrame) -> Identified:
-    """Cues and their window vectors of one project to turns and line labels.
+    """Cues and their window vectors of many projects to turns and line labels, each project by itself.
 
-    ``cues``: item_id, ord, start_ms, end_ms; ``windows``: item_id, ord, ws, we, emb.
-    Steps: trimmed mean per cue, item mean subtraction, clustering over the whole
-    project, window votes, sequence smoothing, mixed-line test, turns.
+    ``cues``: project_id, item_id, ord, start_ms, end_ms; ``windows``: project_id, item_id, ord,
+    ws, we, emb. Steps: trimmed mean per cue, item mean subtraction, clustering over the whole
+    project, window votes, sequence smoothing, mixed-line test, turns. Every step is keyed by
+    project and item, so items of two projects may share an id, and labels (speaker1, speaker2,
+    ... by first appearance) belong to their project.
     """
+    line = [*ITEM, "ord"]
     # each cut ends a costly stage whose rows several later steps read
-    raw = cut(V.trimmed_mean(windows, ["item_id", "ord"], "ws").select("item_id", "ord", "emb"))
-    centred, moved = V.subtract_item_mean(raw, windows)
-    timed = centred.join(cues.select("item_id", "ord", "start_ms", "end_ms"), ["item_id", "ord"])
+    raw = cut(V.trimmed_mean(windows, line, "ws").select(*line, "emb"))
+    centred, moved = V.subtract_item_mean(raw, windows, item=ITEM)
+    timed = centred.join(cues.select(*line, "start_ms", "end_ms"), line)
     # clustering wants one running order over the project: item, then cue start
-    placed = number_project(timed)
-    named = V.cluster_lines(placed.withColumn("project_id", F.lit(0)), ["project_id"])
-    named = cut(named)
-    named = number_by_appearance(named.select("item_id", F.col("cue").alias("ord"), F.col("ord").alias("seq"),
-                                              "cluster", "emb"), [], "cluster", ["seq"], "num")
+    named = cut(V.cluster_lines(number_project(timed), list(PROJECT)))
+    named = number_by_appearance(
+        named.select(*ITEM, F.col("cue").alias("ord"), F.col("ord").alias("seq"), "cluster", "emb"),
+        list(PROJECT), "cluster", ["seq"], "num",
+    )
     named = cut(named.withColumn("label", F.concat(F.lit("speaker"), (F.col("num") + 1).cast("string"))))
-    order = named.groupBy("label").agg(F.min("num").alias("ord"))
-    cents = cut(V.centroids(named, ["label"]).join(order, "label").select("label", "ord", "centroid"))
-    original = V.centroids(named.select("item_id", "ord", "label").join(raw, ["item_id", "ord"]), ["label"])
-
-    pool = cents.select(F.col("label").alias("char_id"), "ord", F.col("centroid").alias("emb"))
-    voted = best_matches(moved.join(named.select("item_id", "ord"), ["item_id", "ord"], "left_semi"),
-                         pool, keys=[], k=1)
-    voted = cut(voted.select("item_id", "ord", F.col("ws").alias("start_ms"), F.col("we").alias("end_ms"),
+    label = [*PROJECT, "label"]
+    order = named.filter("label IS NOT NULL").groupBy(*label).agg(F.min("num").alias("ord"))
+    cents = cut(V.centroids(named, label).join(order, label).select(*label, "ord", "centroid"))
+    original = V.centroids(named.select(*line, "label").join(raw, line), label)
+
+    pool = cents.select(*PROJECT, F.col("label").alias("char_id"), "ord", F.col("centroid").alias("emb"))
+    voted = best_matches(moved.join(named.select(*line), line, "left_semi"), pool, keys=list(PROJECT), k=1)
+    voted = cut(voted.select(*line, F.col("ws").alias("start_ms"), F.col("we").alias("end_ms"),
                              F.get("matches", F.lit(0))["char_id"].alias("label")))
-    vote = V.majority(voted, ["item_id", "ord"], "label", "start_ms").select("item_id", "ord", "label")
-    runs = label_runs(voted, ["item_id", "ord"], max_gap=375)
-    lines = cues.select("item_id", "ord", "start_ms", "end_ms").join(vote, ["item_id", "ord"], "left").join(
-        named.select("item_id", "ord", "emb"), ["item_id", "ord"], "left"
-    )
-    smooth = cut(V.smooth_labels(lines, cents).drop("label", "emb").withColumnRenamed("smoothed", "label"))
-    judged = V.mixed_lines(smooth, runs)
+    vote = V.majority(voted, line, "label", "start_ms").select(*line, "label")
+    runs = label_runs(voted, line, max_gap=375)
+    lines = cues.select(*line, "start_ms", "end_ms").join(vote, line, "left").join(named.select(*line, "emb"), line, "left")
+    smooth = V.smooth_labels(lines, cents, item=ITEM, project=PROJECT)
+    smooth = cut(smooth.drop("label", "emb").withColumnRenamed("smoothed", "label"))
+    judged = V.mixed_lines(smooth, runs, item=ITEM)
     return Identified(
-        lines=judged.select("item_id", "ord", "start_ms", "end_ms", "label", F.col("side").isNotNull().alias("mixed")),
-        turns=emit_turns(judged).select("item_id", "start_ms", "end_ms", "label"),
-        centroids=original.join(order, "label"),
+        lines=judged.select(*line, "start_ms", "end_ms", "label", F.col("side").isNotNull().alias("mixed")),
+        turns=emit_turns(judged, ITEM).select(*ITEM, "start_ms", "end_ms", "label"),
+        centroids=original.join(order, label),
     )
 
 
 def number_project(rows: DataFrame) -> DataFrame:
-    """``ord`` becomes a running number over (item, start); the old one stays as ``cue``."""
+    """``ord`` becomes a running number over (item, start) of the project; the old one stays as ``cue``."""
     from clipweave.plans.scan import prefix_scan, running_sum
 
-    per_item = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("_m")).withColumn("_one", F.lit(0))
-    ahead = prefix_scan(per_item, ["_one"], ["item_id"], _a=running_sum(F.col("_m"), inclusive=False))
-    inner = prefix_scan(rows, ["item_id"], ["start_ms", "ord"], _p=running_sum(F.lit(1).cast("long")))
+    per_item = rows.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("_m"))
+    ahead = prefix_scan(per_item, list(PROJECT), ["item_id"], _a=running_sum(F.col("_m"), inclusive=False))
+    inner = prefix_scan(rows, list(ITEM), ["start_ms", "ord"], _p=running_sum(F.lit(1).cast("long")))
     return (
-        inner.join(ahead.select("item_id", F.coalesce("_a", F.lit(0)).alias("_a")), "item_id")
+        inner.join(ahead.select(*ITEM, F.coalesce("_a", F.lit(0)).alias("_a")), list(ITEM))
         .withColumnRenamed("ord", "cue")
         .withColumn("ord", F.col("_a") + F.col("_p"))
         .drop("_a", "_p")

@@ -187,6 +187,94 @@ def test_clusters_are_the_same_in_rounds_and_in_one_task(spark):
     assert get(20) == want
 
 
+def test_equal_distances_give_the_same_clusters_on_both_routes(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for project in range(8):  # few different directions, so that most distances tie
+        vecs = rng.integers(0, 2, (40, 5)) * 2 - 1 if project % 2 else np.eye(8)[rng.integers(0, 8, 40)] + np.eye(8)[rng.integers(0, 8, 40)]
+        rows += [(project, i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    lines = spark.createDataFrame(rows, "project_id long, ord long, emb array<double>")
+    get = lambda most: {(r.project_id, r.ord): r.cluster for r in V.cluster_lines(lines, ["project_id"], exact_lines=most).collect()}
+    want = get(2000)
+    spark.conf.set("clipweave.poolBlock", "5")
+    try:
+        assert get(14) == want  # a few tiles
+    finally:
+        spark.conf.unset("clipweave.poolBlock")
+
+
+def test_tree_of_rounds_equals_the_chain(spark):
+    rng = np.random.default_rng(13)
+    vecs = rng.integers(-2, 3, (90, 4)).astype(float)
+    vecs = np.unique(vecs[np.abs(vecs).sum(axis=1) > 0] / np.linalg.norm(vecs[np.abs(vecs).sum(axis=1) > 0], axis=1, keepdims=True), axis=0)
+    units = spark.createDataFrame([(0, i, [float(x) for x in v], 1.0) for i, v in enumerate(vecs)], "project_id long, ord long, s array<double>, n double")
+    heights, joins = V.average_linkage(vecs, np.ones(len(vecs)))
+    want = sorted((b, a, round(h, 9)) for h, (a, b) in zip(heights, joins, strict=True))
+    for most in (8,):
+        got = sorted((r.ord, r.parent, round(r.h, 9)) for r in V.linkage_tree(units, ["project_id"], most).collect())
+        assert got == want
+
+
+def _talks(projects):
+    """Cues of one voice with three windows each; every project has voices and items of its own, item ids are shared."""
+    rng = np.random.default_rng(14)
+    out = []
+    for p in projects:
+        voices = np.eye(8)[rng.permutation(8)[: 3 + p % 3]] + rng.normal(scale=0.05, size=(3 + p % 3, 8))
+        for item in range(2):
+            for cue in range(12):
+                who = voices[(cue // 2 + item) % len(voices)]
+                out += [(p, item, cue, cue * 3000 + k * 500, cue * 3000 + k * 500 + 1400, [float(x) for x in who + rng.normal(scale=0.03, size=8)]) for k in range(3)]
+    return out
+
+
+def test_projects_are_identified_as_if_alone(spark):
+    from clipweave.plans.identify import identify
+
+    rows = _talks([1, 2, 5])
+    schema = "project_id long, item_id long, ord long, ws long, we long, emb array<double>"
+
+    def run(some):
+        windows = spark.createDataFrame(some, schema)
+        cues = windows.groupBy("project_id", "item_id", "ord").agg(F.min("ws").alias("start_ms"), F.max("we").alias("end_ms"))
+        got = identify(cues, windows)
+        return {tuple(r) for r in got.lines.collect()}, {tuple(r) for r in got.turns.collect()}
+
+    lines, turns = run(rows)
+    alone = [run([r for r in rows if r[0] == p]) for p in (1, 2, 5)]
+    assert lines == set().union(*(a for a, _ in alone)) and turns == set().union(*(t for _, t in alone))
+    speakers = {p: {r[5] for r in lines if r[0] == p} for p in (1, 2, 5)}
+    assert {p: len(s) for p, s in speakers.items()} == {1: 4, 2: 5, 5: 5} and all("speaker1" in s for s in speakers.values())
+
+
+def test_smoothing_equals_the_full_step(spark):
+    rng = np.random.default_rng(15)
+    cents = [(p, f"v{k}", k, [float(x) for x in rng.normal(size=4)]) for p, n in ((0, 2), (1, 5)) for k in range(n)]
+    lines = [(p, i, o, None, [float(x) for x in rng.normal(size=4)] if o % 7 else None) for p in (0, 1) for i in (0, 1) for o in range(15)]
+    got = V.smooth_labels(
+        spark.createDataFrame(lines, "project_id long, item_id long, ord long, label string, emb array<double>"),
+        spark.createDataFrame(cents, "project_id long, label string, ord long, centroid array<double>"),
+        0.2, item=("project_id", "item_id"), project=("project_id",))
+    found = {(r.project_id, r.item_id, r.ord): r.smoothed for r in got.collect()}
+    for p in (0, 1):
+        names, c = [x[1] for x in cents if x[0] == p], np.stack([np.array(x[3]) / np.linalg.norm(x[3]) for x in cents if x[0] == p])
+        for i in (0, 1):
+            rows = [(o, np.array(e)) for q, j, o, _, e in lines if (q, j) == (p, i) and e is not None]
+            step = np.full((len(c), len(c)), -0.2)
+            np.fill_diagonal(step, 0)
+            v, back = None, []
+            for _, e in rows:
+                sims = c @ (e / np.linalg.norm(e))
+                via = (v[:, None] + step) if v is not None else None
+                back.append(via.argmax(axis=0) if v is not None else None)
+                v = sims if v is None else sims + via.max(axis=0)
+            at, path = int(v.argmax()), []
+            for b in reversed(back):
+                path.append(at)
+                at = int(b[at]) if b is not None else at
+            assert [found[p, i, o] for o, _ in rows] == [names[k] for k in reversed(path)]
+
+
 def test_cluster_edge_sizes(spark):
     one = spark.createDataFrame([(0, 0, [1.0, 0.0])], "project_id long, ord long, emb array<double>")
     assert [r["cluster"] for r in V.cluster_lines(one, ["project_id"]).collect()] == [0]
