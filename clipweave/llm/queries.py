@@ -154,13 +154,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UNITS_SQL = f"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-l AS (SELECT doc_id, text, p, string_split(text, chr(10)) AS lines FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(p)),
-u AS (SELECT doc_id, p, lines[p] AS line, list_sum(list_transform(lines[1:p - 1], lambda x: length(x) + 1))::BIGINT AS begun FROM l),
-w AS (SELECT doc_id, coalesce(begun, 0) AS s, coalesce(begun, 0) + length(line) AS e, list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS words FROM u),
-k AS (SELECT doc_id, s, e, {ASCII.format("array_to_string(words, ' ')")} AS key FROM w WHERE len(words) >= {substrings.MIN_WORDS}),
-r AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY key ORDER BY doc_id, s) AS n FROM k),
-c AS (SELECT doc_id, count(*) AS n_removed, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM r WHERE n > 1 GROUP BY doc_id)
-SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(spans, '') AS spans FROM documents LEFT JOIN c USING (doc_id)
+t AS (SELECT *, regexp_extract_all(text, '[ \\t\\n\\x0B\\f\\r]*[^ \\t\\n\\x0B\\f\\r]+') AS tokens FROM d),
+k AS (SELECT doc_id, text, unnest(range(1, len(tokens) + 1)) AS p, unnest(tokens) AS token FROM t),
+w AS (SELECT *, ltrim(token, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS word,
+        sum(length(token)) OVER (PARTITION BY doc_id, text ORDER BY p) AS stop, lag(token) OVER (PARTITION BY doc_id, text ORDER BY p) AS before FROM k),
+b AS (SELECT *, p = 1 OR starts_with(regexp_extract(token, '\\n'), chr(10)) OR regexp_matches(before, '[.!?]$') OR regexp_matches(word, '^\\p{{Lu}}') AS begins FROM w),
+e AS (SELECT *, coalesce(lead(begins) OVER (PARTITION BY doc_id, text ORDER BY p), true) AS ends FROM b),
+u AS (SELECT x.doc_id, x.text, x.p, y.p AS q, x.stop - length(x.word) AS s, y.stop AS e
+      FROM (SELECT *, p + {substrings.PASSAGE_WORDS - 1} AS least FROM e WHERE begins) x
+      ASOF JOIN (SELECT * FROM e WHERE ends) y ON x.doc_id = y.doc_id AND x.text = y.text AND x.least <= y.p),
+l AS (SELECT doc_id, text, list(word ORDER BY p) AS words FROM w GROUP BY ALL),
+h AS (SELECT doc_id, text, s, e, {ASCII.format("array_to_string(list_slice(words, p, q), ' ')")} AS key FROM u JOIN l USING (doc_id, text)),
+r AS (SELECT doc_id, text, s, e, row_number() OVER (PARTITION BY key ORDER BY doc_id, s) AS n FROM h),
+g AS (SELECT doc_id, text, s, e, coalesce(s > max(e) OVER (PARTITION BY doc_id, text ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS apart FROM r WHERE n > 1),
+i AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY doc_id, text ORDER BY s, e) AS part FROM g),
+m AS (SELECT doc_id, text, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM i GROUP BY doc_id, text, part),
+c AS (SELECT doc_id, text, count(*) AS n_removed, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM m GROUP BY ALL)
+SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(spans, '') AS spans FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id AND d.text = c.text
 """
 
 

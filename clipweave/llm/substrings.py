@@ -1,67 +1,119 @@
-"""Substring dedup by hashing lines: the earliest occurrence of a unit stays, later ones are cut out.
+"""Substring dedup by hashing units of text: the earliest occurrence of a unit stays, later ones are cut out.
+
+Units are lines, paragraphs, or passages. A passage begins where a sentence or a line begins, or at
+a capitalised word, and runs on to the first such place after ``PASSAGE_WORDS`` words; so passages
+overlap, are found inside lines and across line breaks, and a text is cut only where that many
+words in a row stand in an earlier place. Overlapping cuts are joined. Letters are compared without
+regard to case, but capitals set the borders: a passage copied in capitals only is another one.
 
 Defined cases: a null or empty text has no units to cut; units shorter than the minimum never
 count; with a null doc_id nothing is registered and nothing cut; a unit that repeats inside its
 own document is cut there too; equal rows (same doc_id and text) are one document and get equal
-spans; extra input columns are ignored; an empty table gives an empty result.
+spans; a text without such places is one passage; extra input columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipweave.llm.common import SALTS, pieces, spread_join, written
+from clipweave.llm.common import SALTS, SPACES, pieces, sized, spread_join, written
 
 #: units with fewer words are left alone
 MIN_WORDS = 8
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\n))+")}
 WORD = re.compile(r"[^ \t\n\v\f\r]+")
+#: words of a passage at least
+PASSAGE_WORDS = 40
+#: white space that parts two sentences or lines, or stands in front of a capital
+BORDER = regex.compile(r"(?<=[.!?])[ \t\v\f\r\n]+|[ \t\v\f\r]*\n[ \t\v\f\r\n]*|[ \t\v\f\r]+(?=\p{Lu})")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
 
-def unit_digests(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def _units(text: str, unit: str, min_words: int) -> Iterator[tuple[list[str], int, int]]:
+    """(words, start, end) of every line or paragraph that is long enough."""
+    for m in UNITS[unit].finditer(text):
+        words = WORD.findall(m[0])
+        if len(words) >= min_words:
+            yield words, m.start(), m.end()
+
+
+def _passages(text: str, min_words: int) -> Iterator[tuple[list[str], int, int]]:
+    """(sentences, start, end) of every passage: whole sentences until there are enough words."""
+    begins, ends, said, counts = [], [], [], []
+    at = 0
+    for m in [*BORDER.finditer(text), None]:
+        to = m.start() if m else len(text)
+        words = WORD.findall(text, at, to)
+        if words:
+            first = text.index(words[0], at) if at == 0 else at
+            begins.append(first)
+            ends.append(to)
+            said.append(" ".join(words))
+            counts.append(len(words))
+        at = m.end() if m else to
+    if ends:
+        ends[-1] = begins[-1] + len(text[begins[-1] :].rstrip(SPACES))
+    last = -1
+    inside = 0
+    for k in range(len(said)):
+        while inside < min_words and last + 1 < len(said):
+            last += 1
+            inside += counts[last]
+        if inside < min_words:
+            return
+        yield said[k : last + 1], begins[k], ends[last]
+        inside -= counts[k]
+
+
+def unit_digests(docs: DataFrame, unit: str = "passage", min_words: int | None = None) -> DataFrame:
     """One row per unit: 128-bit digest of its normalised words, document, and offsets in code points."""
-    find, words_in, lower = UNITS[unit].finditer, WORD.findall, LOWER
+    least = min_words if min_words is not None else PASSAGE_WORDS if unit == "passage" else MIN_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             rows: list[tuple] = []
             for doc, text, body in zip(*(c.to_pylist() for c in batch.columns)):
-                for m in find(text):
-                    words = words_in(m[0])
-                    if len(words) >= min_words:
-                        key = hashlib.blake2b(" ".join(words).translate(lower).encode(), digest_size=16).digest()
-                        rows.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), doc, body, m.start(), m.end()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], names)
-
-    names = ["h1", "h2", "doc", "body", "start", "end"]
+                for words, start, end in _passages(text, least) if unit == "passage" else _units(text, unit, least):
+                    key = xxhash.xxh3_128_digest(" ".join(words).translate(LOWER).encode())
+                    rows.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), doc, body, start, end))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+
+    names, kinds = ["h1", "h2", "doc", "body", "start", "end"], [pa.int64()] * 4 + [pa.int32()] * 2
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     texts = texts.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("body"))
-    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(run, "h1 long, h2 long, doc long, body long, start int, end int")
 
 
-def cut_spans(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document with something to cut: doc, body, n_removed, spans (sorted offsets of cut units).
+def cut_spans(docs: DataFrame, unit: str = "passage", min_words: int | None = None) -> DataFrame:
+    """Per document with something to cut: doc, body, n_removed, spans (sorted offsets of what is cut).
 
     Occurrences are ranked by (doc_id, text hash, offset). Digests that occur once leave after a
-    pre-aggregated count; the rest meet their earliest place with salted keys.
+    pre-aggregated count; the rest meet their earliest place as a broadcast of checked size, or
+    with salted keys. Units of equal rows are counted once per document.
     """
-    units = written(unit_digests(docs, unit, min_words).distinct(), "units")
+    units = written(unit_digests(docs, unit, min_words), "units")
     place = F.struct("doc", "body", "start")
     firsts = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     shared = written(firsts.filter("n > 1").drop("n"), "unit-firsts")
-    later = spread_join(units, shared, ["h1", "h2"], F.col("doc"), SALTS).filter(place > F.col("first"))
-    spans = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))))
-    return later.groupBy("doc", "body").agg(F.count(F.lit(1)).alias("n_removed"), spans.alias("spans"))
-
-
-def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    small = sized(shared)
+    met = units.join(small, ["h1", "h2"]) if small is not shared else spread_join(units, shared, ["h1", "h2"], F.col("doc"), SALTS)
+    later = met.filter(place > F.col("first")).select("doc", "body", "start", "end").distinct()
+    so_far = Window.partitionBy("doc", "body").orderBy("start", "end")
+    apart = later.withColumn("apart", F.coalesce(F.col("start") > F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    joined = apart.withColumn("part", F.sum(F.col("apart").cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("doc", "body", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = F.array_sort(F.collect_list(F.struct("start", "end")))
+    return joined.groupBy("doc", "body").agg(F.count(F.lit(1)).alias("n_removed"), spans.alias("spans"))
+
+
+def dedup(docs: DataFrame, unit: str = "passage", min_words: int | None = None) -> DataFrame:
     """Each input row as ``row`` with n_removed and spans; a row with nothing to cut has none."""
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"))
     out = held.join(cut_spans(docs, unit, min_words), ["doc", "body"], "left")

@@ -101,11 +101,45 @@ def test_line_dedup_keeps_first(spark):
 def test_substrings_cut_at_offsets(spark):
     unit = "one passage of at least eight words stands here"
     docs = spark.createDataFrame([(1, f"é😀 first\n{unit}"), (2, f"start\n{unit.upper()}\nend\n{unit}")], "doc_id long, text string")
-    got = {r.row.doc_id: (r.row.text, [(s.start, s.end) for s in r.spans]) for r in substrings.dedup(docs).collect()}
+    got = {r.row.doc_id: (r.row.text, [(s.start, s.end) for s in r.spans]) for r in substrings.dedup(docs, "line").collect()}
     assert got[1][1] == [] and got[2][1] == [(6, 6 + len(unit)), (11 + len(unit), 11 + 2 * len(unit))]
     assert substrings.remaining(*got[2]) == "start\n\nend\n"
 
 
+def test_passages_inside_lines_are_cut_and_short_lines_stay(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage = f"Here {words('a', 20)}. Then\nit {words('b', 25)}."
+    shared = f"A line of {words('s', 15)}."
+    texts = {1: f"own {words('x', 9)}. {passage} {words('y', 30)}", 2: f"é😀 {words('z', 50)} in {passage}  on {words('v', 45)}\n{shared}", 3: f"{shared}\nNew {words('q', 60)}", 4: passage, 5: words("n", 200), 6: words("n", 200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.row.doc_id: (r.row.text, [(s.start, s.end) for s in r.spans], r.n_removed) for r in substrings.dedup(docs).collect()}
+    assert [rows[i][2] for i in range(1, 7)] == [0, 1, 0, 1, 0, 1]
+    (a, b), = rows[2][1]
+    assert rows[2][0][a:b] == passage and substrings.remaining(*rows[4][:2]) == substrings.remaining(*rows[6][:2]) == ""
+
+
+def test_passages_equal_brute_force(spark):
+    random.seed(9)
+    bits = ["One two", "three.", "Four", "five\n", " six", "seven!", "Eight  nine", "ten"]
+    texts = [" ".join(random.choices(bits, k=random.randint(0, 40))) + random.choice(["", " ", "\n"]) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in substrings.dedup(docs, min_words=6).collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        at = [m.span() for m in substrings.WORD.finditer(t)]
+        word = [t[a:b] for a, b in at]
+        begins = [k for k in range(len(at)) if k == 0 or "\n" in t[at[k - 1][1] : at[k][0]] or word[k - 1][-1] in ".!?" or word[k][0].isupper()]
+        ends = [*[k - 1 for k in begins[1:]], len(at) - 1]
+        want[i] = set()
+        for k in begins:
+            to = next((e for e in ends if e >= k + 5), None)
+            if to is not None:
+                key = " ".join(word[k : to + 1]).lower()
+                want[i] |= set(range(at[k][0], at[to][1])) if key in seen else set()
+                seen.add(key)
+    assert got == want and sum(map(len, got.values())) > 100
+
+
 def test_archives_round_trip(spark):
     big = "line\r\n\r\nWARC/1.1\r\n" * 20
     rows = [(3, "http://a", big), (1, "http://b\r\nX: y", big), (2, None, None), (None, "u", big), (5, "c", "tiny"), (6, "c", "tiny"), (7, "d", "é" * 90 + "\r\n"), (7, "d", "é" * 90 + "\r\n")]
