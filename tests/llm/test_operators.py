@@ -123,7 +123,7 @@ def test_passages_equal_brute_force(spark):
     bits = ["One two", "three.", "Four", "five\n", " six", "seven!", "Eight  nine", "ten"]
     texts = [" ".join(random.choices(bits, k=random.randint(0, 40))) + random.choice(["", " ", "\n"]) for _ in range(25)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.row.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in substrings.dedup(docs, min_words=6).collect()}
+    got = {r.row.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in substrings.dedup(docs, min_words=4).collect()}
     seen, want = set(), {}
     for i, t in enumerate(texts):
         at = [m.span() for m in substrings.WORD.finditer(t)]
@@ -132,7 +132,7 @@ def test_passages_equal_brute_force(spark):
         ends = [*[k - 1 for k in begins[1:]], len(at) - 1]
         want[i] = set()
         for k in begins:
-            to = next((e for e in ends if e >= k + 5), None)
+            to = next((e for e in ends if e >= k + 3), None)
             if to is not None:
                 key = " ".join(word[k : to + 1]).lower()
                 want[i] |= set(range(at[k][0], at[to][1])) if key in seen else set()
