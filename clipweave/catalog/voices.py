@@ -328,13 +328,52 @@ def _pools(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("pool_match_strong", "MAT-1")
+def _in_order(mode: str, threshold: float, asked: str) -> list[str]:
+    """Matching in order as recursive SQL: the state is the list of a project's characters.
+
+    ``asked`` makes ``seq`` (project_id, t, x, key): the vector that is matched at step t.
+    """
+    hit = f"s1 >= {threshold}" if mode == "weak" else f"s1 >= {threshold} AND s1 - s2 >= 0.05"
+    had = "c.n" if mode == "gap" else "(CASE WHEN c.n = 0 THEN 1 ELSE c.n END)"
+    keys = "c.keys" if mode == "gap" else "list_distinct(list_append(c.keys, key))"
+    owner = "list_position(list_transform(known, lambda c: list_contains(c.keys, key)), true)" if mode == "weak" else "NULL::INTEGER"
+    new = "WHEN how = 'new' THEN list_append(known, {'id': 'char_' || key, 'keys': [key], 'v': x, 'n': 1})" if mode == "weak" else ""
+    return [*BASE, """
+lmean AS (SELECT item_id, label, d, avg(v) AS m FROM vdims GROUP BY 1, 2, 3),
+lvec AS (SELECT item_id, label, list(m ORDER BY d) AS m FROM lmean GROUP BY 1, 2),
+lunit AS (SELECT item_id, label, list_transform(m, lambda z: z / (sqrt(list_dot_product(m, m)) + 1e-9)) AS x FROM lvec),
+projects AS (SELECT DISTINCT item_id AS project_id FROM vectors),
+start AS (SELECT project_id, list({'id': char_id, 'keys': CASE WHEN ord = 4 THEN [project_id || ':speaker5'] ELSE []::VARCHAR[] END,
+            'v': emb, 'n': emb_count::INTEGER} ORDER BY ord) AS known FROM projects, pool WHERE ord % 2 = 0 GROUP BY 1)""", asked, f"""
+walk AS (
+  SELECT project_id, 0::BIGINT AS t, known, NULL::VARCHAR AS char_id, NULL::VARCHAR AS how, NULL::DOUBLE AS sim FROM start
+  UNION ALL
+  SELECT project_id, t, CASE {new} WHEN target IS NULL THEN known ELSE list_transform(known, lambda c, i: CASE WHEN i = target THEN
+           {{'id': c.id, 'keys': {keys}, 'v': list_transform(c.v, lambda z, j: (z * {had} + x[j]) / ({had} + 1)), 'n': ({had} + 1)::INTEGER}} ELSE c END) END,
+         CASE WHEN how = 'new' THEN 'char_' || key ELSE known[target].id END, how, s1
+  FROM (SELECT *, CASE WHEN owner IS NOT NULL THEN owner WHEN {hit} THEN first END AS target,
+               CASE WHEN owner IS NOT NULL THEN 'key' WHEN {hit} THEN 'match' ELSE '{"new" if mode == "weak" else "none"}' END AS how
+        FROM (SELECT *, list_max(sims) AS s1, list_position(sims, list_max(sims)) AS first, {owner} AS owner,
+                     coalesce(list_max(list_filter(sims, lambda z, i: i <> list_position(sims, list_max(sims)))), -1) AS s2
+              FROM (SELECT w.project_id, q.t, q.x, q.key, w.known, list_transform(w.known, lambda c: {COS.format(a="q.x", b="c.v")}) AS sims
+                    FROM walk w JOIN seq q ON q.project_id = w.project_id AND q.t = w.t + 1))))"""]
+
+
+_SEQ = """
+seq AS (SELECT item_id AS project_id, row_number() OVER (PARTITION BY item_id ORDER BY label) AS t, label, x,
+               item_id || ':speaker' || label AS key FROM lunit)"""
+_STEPS = """
+SELECT w.project_id::VARCHAR AS project_id, label::BIGINT AS ord, 'speaker' || label AS label, char_id, how, round(sim, 4) AS sim
+FROM walk w JOIN seq USING (project_id, t)"""
+
+
+@query("pool_match_strong", "MAT-1", oracle="WITH RECURSIVE " + ",".join(_in_order("strong", 0.80, _SEQ)) + _STEPS)
 def pool_match_strong(spark: SparkSession, d: str) -> DataFrame:
     out = V.match_in_order(_labels(spark, d), _pools(spark, d), mode="strong")
     return out.filter("how <> 'pool'").select("project_id", "ord", "label", "char_id", "how", F.round("sim", 4).alias("sim"))
 
 
-@query("pool_match_weak", "MAT-2")
+@query("pool_match_weak", "MAT-2", oracle="WITH RECURSIVE " + ",".join(_in_order("weak", 0.82, _SEQ)) + _STEPS)
 def pool_match_weak(spark: SparkSession, d: str) -> DataFrame:
     out = V.match_in_order(_labels(spark, d), _pools(spark, d), mode="weak", threshold=0.82)
     return out.filter("how <> 'pool'").select("project_id", "ord", "label", "char_id", "how", F.round("sim", 4).alias("sim"))
@@ -431,17 +470,50 @@ def feedback_job(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+_GAPCAND = """
+inside AS (
+  SELECT i.item_id % 8 AS project_id, g.item_id, greatest(g.start_ms, s.start_ms) AS start_ms, least(g.end_ms, s.end_ms) AS end_ms
+  FROM gaps g JOIN speech s ON s.item_id = g.item_id JOIN items i ON i.item_id = g.item_id
+  WHERE g.end_ms - g.start_ms >= 250 AND least(g.end_ms, s.end_ms) - greatest(g.start_ms, s.start_ms) BETWEEN 600 AND 15000),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY item_id, start_ms, end_ms) AS ord FROM inside)"""
+
+
+@query("gap_scan_candidates", "MAT-6", oracle=A.sql(
+    A.EV, A.ITEMS, A.SEGMENTS, A.SPEECH, A.SPARSE,
+    __import__("clipweave.catalog.timelines", fromlist=["_GAPS"])._GAPS.format(src="sparse"), _GAPCAND, body="""
+SELECT project_id, ord, item_id, start_ms, end_ms FROM numbered"""))
+def gap_scan_candidates(spark: SparkSession, d: str) -> DataFrame:
+    from clipweave.plans.gapscan import gap_candidates
+
+    sparse = A.sparse_segments(spark, d)
+    items = A.items(spark, d).withColumn("project_id", F.col("item_id") % 8).withColumn("created", F.col("item_id"))
+    return gap_candidates(sparse, items, A.speech(spark, d).drop("ord")).select(
+        "project_id", "ord", "item_id", "start_ms", "end_ms"
+    )
+
+
 def gap_vectors(cands: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every candidate with a vector from anywhere in the table, chosen by a hash of its place."""
+    """Every candidate with a vector from anywhere in the table, chosen by its place."""
     from clipweave.plans.scan import number_all
 
     held = number_all(vectors.select("vec_id", "emb"), ["vec_id"], "_k").drop("vec_id")
     total = vectors.count()
-    at = 1 + F.pmod(F.xxhash64("item_id", "start_ms"), F.lit(max(total, 1)))
+    at = 1 + F.pmod(F.col("item_id") * 7919 + F.floor(F.col("start_ms") / 100) * 7, F.lit(max(total, 1)))
     return cands.withColumn("_k", at).join(held, "_k", "left").drop("_k")
 
 
-@query("gap_scan", "MAT-6")
+_GAPSEQ = """
+held AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, emb FROM vectors),
+placed AS (SELECT *, 1 + (item_id * 7919 + (start_ms // 100) * 7) % (SELECT count(*) FROM vectors) AS k FROM numbered),
+seq AS (SELECT project_id, ord AS t, emb AS x, '' AS key FROM placed JOIN held USING (k))"""
+
+
+@query("gap_scan", "MAT-6", oracle="WITH RECURSIVE " + ",".join([
+    A.EV, A.ITEMS, A.SEGMENTS, A.SPEECH, A.SPARSE,
+    __import__("clipweave.catalog.timelines", fromlist=["_GAPS"])._GAPS.format(src="sparse"), _GAPCAND,
+    *_in_order("gap", 0.80, _GAPSEQ)]) + """
+SELECT n.project_id::VARCHAR AS project_id, n.item_id, n.start_ms, n.end_ms, w.char_id AS character_id, 'gapscan' AS origin
+FROM numbered n LEFT JOIN walk w ON w.project_id = n.project_id AND w.t = n.ord""")
 def gap_scan(spark: SparkSession, d: str) -> DataFrame:
     """Uncovered speech of each item, matched in order."""
     from clipweave.plans.gapscan import gap_candidates
@@ -459,28 +531,6 @@ def gap_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_GAPCAND = """
-inside AS (
-  SELECT i.item_id % 8 AS project_id, g.item_id, greatest(g.start_ms, s.start_ms) AS start_ms, least(g.end_ms, s.end_ms) AS end_ms
-  FROM gaps g JOIN speech s ON s.item_id = g.item_id JOIN items i ON i.item_id = g.item_id
-  WHERE g.end_ms - g.start_ms >= 250 AND least(g.end_ms, s.end_ms) - greatest(g.start_ms, s.start_ms) BETWEEN 600 AND 15000),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY item_id, start_ms, end_ms) AS ord FROM inside)"""
-
-
-@query("gap_scan_candidates", "MAT-6", oracle=A.sql(
-    A.EV, A.ITEMS, A.SEGMENTS, A.SPEECH, A.SPARSE,
-    __import__("clipweave.catalog.timelines", fromlist=["_GAPS"])._GAPS.format(src="sparse"), _GAPCAND, body="""
-SELECT project_id, ord, item_id, start_ms, end_ms FROM numbered"""))
-def gap_scan_candidates(spark: SparkSession, d: str) -> DataFrame:
-    from clipweave.plans.gapscan import gap_candidates
-
-    sparse = A.sparse_segments(spark, d)
-    items = A.items(spark, d).withColumn("project_id", F.col("item_id") % 8).withColumn("created", F.col("item_id"))
-    return gap_candidates(sparse, items, A.speech(spark, d).drop("ord")).select(
-        "project_id", "ord", "item_id", "start_ms", "end_ms"
-    )
-
-
 @query("characters_by_key", "MAT-7", oracle=A.sql(A.EV, """
 keys AS (SELECT DISTINCT item_id || ':' || event_type AS label_key FROM ev),
 owners AS (SELECT item_id || ':' || 'view' AS label_key, arg_min('c' || event_id, event_id) AS owner FROM ev
