@@ -124,7 +124,14 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return A.read(spark, d, "documents").select("lang", F.col("doc_id").alias("ord"), "n_chars")
 
 
-@query("homogeneous_batches", "DST-10", "DST-11")
+@query("homogeneous_batches", "DST-10", "DST-11", oracle="""
+WITH RECURSIVE t AS (SELECT lang, doc_id AS ord, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS p FROM documents),
+a AS (SELECT *, list(n_chars) OVER (PARTITION BY lang ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS part FROM t),
+h AS (SELECT lang, p, list_max(list_filter(range(1, len(part) + 1), lambda k: k = 1 OR (list_sum(part[1:k]) > 0
+        AND part[k // 2 + 1] * k >= 0.75 * list_sum(part[1:k])))) AS take FROM a),
+c AS (SELECT lang, p, take, 0::BIGINT AS batch_no FROM h WHERE p = 1
+      UNION ALL SELECT h.lang, h.p, h.take, batch_no + 1 FROM c JOIN h ON h.lang = c.lang AND h.p = c.p + c.take)
+SELECT t.lang, t.ord, batch_no FROM t JOIN c ON c.lang = t.lang AND t.p >= c.p AND t.p < c.p + c.take""")
 def homogeneous_batches(spark: SparkSession, d: str) -> DataFrame:
     return B.original_order(B.homogeneous_batches(_texts(spark, d), ["lang"], 8))
 

@@ -6,12 +6,14 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions.text import strip, strip_tags
-from clipweave.plans.fold import ordered_fold
+from clipweave.plans.fold import _fresh, ordered_fold
+from clipweave.plans.frames import plain_strings
 from clipweave.plans.scan import number_rows
+from clipweave.session import cut, setting
 
 HZ = 25
 
@@ -145,45 +147,71 @@ def pad_arrays(rows: DataFrame, keys: list[str], arrays: dict[str, int]) -> Data
 def homogeneous_batches(rows: DataFrame, keys: list[str], batch: int, threshold: float = 0.75) -> DataFrame:
     """Batches of similar text length: (keys, ord, batch_no).
 
-    Rows by length; the next batch is the longest prefix of at most ``batch`` rows whose
-    middle length over mean length reaches the threshold. The fold keeps fewer than
-    ``batch`` undecided rows.
-    """
-    names = [*keys, "ord", "batch_no"]
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "ord"]) + ", batch_no long"
-
-    def head(lens: np.ndarray) -> int:
-        for n in range(len(lens), 0, -1):
-            part = lens[:n]
-            if n == 1 or part[n // 2] / (part.mean() + 1e-8) >= threshold:
-                return n
-        return 0
-
-    def drain(buf: list, no: int, key: list, final: bool) -> tuple[list, int, list]:
-        out = []
-        while buf and (final or len(buf) >= batch):
-            n = head(np.array([b[0] for b in buf[:batch]], dtype=np.float32))
-            out += [(*key, b[1], no) for b in buf[:n]]
-            buf, no = buf[n:], no + 1
-        return buf, no, out
+    Rows by length; the next batch is the longest prefix of at most ``batch`` rows whose middle
+    length is at least ``threshold`` of their mean length (texts without any length stand alone).
 
-    def step(part: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str | None]:
-        buf, no = ([], 0) if state is None else json.loads(state)
-        key = [part[k].iloc[0] for k in keys]
-        key = [k.item() if hasattr(k, "item") else k for k in key]
-        out: list = []
-        for n, o in zip(part["n_chars"].tolist(), part["ord"].tolist(), strict=True):
-            buf.append([int(n), int(o)])
-            if len(buf) >= batch:
-                buf, no, made = drain(buf, no, key, False)
-                out += made
-        return pd.DataFrame(out, columns=names), json.dumps([buf, no])
-
-    def finish(key: tuple, state: str | None) -> pd.DataFrame:
-        buf, no = ([], 0) if state is None else json.loads(state)
-        return pd.DataFrame(drain(buf, no, list(key), True)[2], columns=names)
-
-    return ordered_fold(rows, keys, ["n_chars", "ord"], step, schema, finish=finish)
+    Where a batch that begins at a row would end depends on the next rows alone, so every row gets
+    that length in a window. Which rows do begin a batch is a chain through those lengths: a key is
+    cut into cells along its order, every cell tells for each place at which the chain may enter it
+    where it leaves again and after how many batches, the cells' answers are joined end to end, and
+    every cell is numbered from its entry. A hot key is worked on by as many tasks as it has cells.
+    """
+    size = max(setting(rows.sparkSession, "batchCell", 250_000), batch)
+    at = number_rows(rows.select(*keys, "ord", "n_chars"), keys, ["n_chars", "ord"], "_p")
+    placed = at.withColumn("_at", F.col("_p") - 1).withColumn("_cell", F.floor(F.col("_at") / size))
+    # a cell's last rows look at the first ones of the next cell, which get a copy in front
+    seen = placed.withColumn("_in", F.explode(F.when(
+        (F.col("_at") % size < batch - 1) & (F.col("_cell") > 0), F.array(F.col("_cell"), F.col("_cell") - 1)
+    ).otherwise(F.array("_cell"))))
+    ahead = Window.partitionBy(*keys, "_in").orderBy("_at").rowsBetween(0, batch - 1)
+    part = F.col("_next")
+    total = lambda n: F.aggregate(F.slice(part, F.lit(1), n), F.lit(0).cast("double"), lambda t, x: t + x)
+    fits = lambda n: (n == 1) | ((total(n) > 0) & (F.get(part, F.floor(n / 2).cast("int")) * n >= threshold * total(n)))
+    heads = seen.withColumn("_next", F.collect_list("n_chars").over(ahead)).filter("_in = _cell")
+    heads = heads.select(*keys, "ord", "_cell", "_at", F.array_max(F.filter(F.sequence(F.lit(1), F.size(part)), fits)).alias("_take"))
+    heads = cut(heads)
+
+    key_types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+    ways_schema = f"{key_types}, _cell long, entry int, leave int, made long"
+    entry_schema = f"{key_types}, _cell long, entry int, made long"
+    named = [*keys, "_cell"]
+
+    def ways(part: pd.DataFrame) -> pd.DataFrame:
+        take, n = part.sort_values("_at")["_take"].tolist(), len(part)
+        leave, made = [0] * (n + batch), [0] * (n + batch)
+        leave[n:] = range(batch)
+        for i in range(n - 1, -1, -1):
+            leave[i], made[i] = leave[i + take[i]], made[i + take[i]] + 1
+        some = min(batch, n)
+        out = pd.DataFrame({c: [part[c].iloc[0]] * some for c in named})
+        return plain_strings(out.assign(entry=range(some), leave=leave[:some], made=made[:some]))
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        known = {(c, e): (to, m) for c, e, to, m in part[["_cell", "entry", "leave", "made"]].itertuples(index=False)}
+        out, entry, made = [], 0, 0
+        for cell in sorted({c for c, _ in known}):
+            out.append((cell, entry, made))
+            entry, more = known.get((cell, entry), (0, 0))  # a chain may pass over the few rows of a last cell
+            made += more
+        table = pd.DataFrame(out, columns=["_cell", "entry", "made"])
+        for c in keys:
+            table[c] = part[c].iloc[0]
+        return plain_strings(table[[*keys, "_cell", "entry", "made"]])
+
+    def number(_key: tuple, part: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_at")
+        take, entry = part["_take"].tolist(), int(entries["entry"].iloc[0])
+        starts, i = np.zeros(len(take), np.int64), entry
+        while i < len(take):
+            starts[i] = 1
+            i += take[i]
+        # rows in front of the entry belong to the batch that came in
+        part["batch_no"] = int(entries["made"].iloc[0]) + np.cumsum(starts) - 1
+        return plain_strings(part[[*keys, "ord", "batch_no"]])
+
+    entries = heads.groupBy(*named).applyInPandas(ways, ways_schema).groupBy(*keys).applyInPandas(follow, entry_schema)
+    out = f"{key_types}, ord {rows.schema['ord'].dataType.simpleString()}, batch_no long"
+    return heads.groupBy(*named).cogroup(_fresh(cut(entries)).groupBy(*named)).applyInPandas(number, out)
 
 
 def original_order(rows: DataFrame) -> DataFrame:
