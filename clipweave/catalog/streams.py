@@ -154,3 +154,18 @@ def feedback_queue_stream(spark: SparkSession, d: str) -> DataFrame:
     """First sample per (item, segment) within the watermark, which here spans the table."""
     smp = _stream(spark, d).select(F.col("user_id").alias("item_id"), F.col("event_type").alias("seg_id"), "ts", F.col("event_id").alias("ord"))
     return R.drain(S.unique_samples(smp, "60 days"), "feedback").select("item_id", "seg_id", "ord")
+
+
+@query("feedback_batches_stream", "STR-10", oracle="""
+WITH RECURSIVE e AS (SELECT user_id AS p, ts, event_id AS s, event_type = 'purchase' AS fin, event_id % 3 AS i, event_type AS g,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT DISTINCT p, 0::BIGINT AS k, false AS busy, 0::BIGINT AS n, []::STRUCT(i BIGINT, g VARCHAR, s BIGINT)[] AS q, []::STRUCT(i BIGINT, g VARCHAR, s BIGINT)[] AS sent FROM e
+ UNION ALL SELECT p, k, busy OR len(q) > 0, CASE WHEN NOT busy AND len(q) > 0 THEN n + 1 ELSE n END, CASE WHEN busy THEN q ELSE q[21:] END, CASE WHEN busy THEN [] ELSE q[1:20] END FROM (
+  SELECT e.p, e.k, w.busy AND NOT e.fin AS busy, w.n, CASE WHEN e.fin THEN w.q ELSE list_append(w.q, {'i': e.i, 'g': e.g, 's': e.s}) END AS q FROM w JOIN e ON e.p = w.p AND e.k = w.k + 1))
+SELECT p AS project_id, n AS batch_no, x.i::VARCHAR AS item_id, x.g AS seg_id, min(x.s) AS seq FROM (SELECT p, n, unnest(sent) AS x FROM w) GROUP BY 1, 2, 3, 4""")
+def feedback_batches_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of every project in batches of at most twenty; a purchase stands for the end of a job."""
+    kind = F.when(F.col("event_type") == "purchase", "finish").otherwise("sample")
+    ev = _stream(spark, d).select(F.col("user_id").alias("project_id"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"),
+                                  (F.col("event_id") % 3).cast("string").alias("item_id"), F.col("event_type").alias("seg_id"))
+    return R.drain(K.feedback_batches(ev, LATE), "batches").select("project_id", "batch_no", "item_id", "seg_id", "seq")

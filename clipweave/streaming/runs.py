@@ -18,9 +18,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.option("maxBytesPerTrigger", str(8 << 30)).parquet(path)
 
 
+#: state stores that hold value and list states, timers and column families
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything available, write it to parquet and read it back."""
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out, state = scratch_path(spark, name), scratch_path(spark, name + "-state")
     schema = stream.schema
     query = (

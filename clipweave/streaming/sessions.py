@@ -54,9 +54,3 @@ def absorb_stream(samples: DataFrame) -> DataFrame:
 def unique_samples(samples: DataFrame, late: str = "1 hour") -> DataFrame:
     """First sample per (item, segment); repeats within the watermark are dropped."""
     return samples.withWatermark("ts", late).dropDuplicatesWithinWatermark(["item_id", "seg_id"])
-
-
-def take_batch(batch: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The next feedback batch (earliest ``limit`` rows) and what stays queued."""
-    head = batch.orderBy("ts", "ord").limit(limit)
-    return head, batch.join(head.select("item_id", "seg_id"), ["item_id", "seg_id"], "left_anti")
