@@ -15,10 +15,12 @@ spans; a text without such places is one passage; extra input columns are ignore
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +34,14 @@ WORD = re.compile(r"[^ \t\n\v\f\r]+")
 #: words of a passage at least
 PASSAGE_WORDS = 40
 #: white space that parts two sentences or lines, or stands in front of a capital
-BORDER = regex.compile(r"(?<=[.!?])[ \t\v\f\r\n]+|[ \t\v\f\r]*\n[ \t\v\f\r\n]*|[ \t\v\f\r]+(?=\p{Lu})")
-LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+CAPITALS = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Lu"]
+CAPITAL = "[{}]|(?=[\U00010000-\U0010ffff])[{}]".format("".join(c for c in CAPITALS if c < "\U00010000"), "".join(c for c in CAPITALS if c >= "\U00010000"))
+BORDER = re.compile(rf"(?<=[.!?])[ \t\v\f\r\n]+|[ \t\v\f\r]+(?:\n[ \t\v\f\r\n]*|(?={CAPITAL}))|\n[ \t\v\f\r\n]*")
+DIGEST = xxhash.xxh3_128_digest
+#: bytes of text whose units are hashed at once; a longer text is hashed alone
+PIECE = 1_000_000
+#: digests found twice or more that are broadcast at most (about 15 MB); more meet the units by salted keys
+FEW = 100_000
 
 
 def _units(text: str, unit: str, min_words: int) -> Iterator[tuple[list[str], int, int]]:
@@ -44,32 +52,37 @@ def _units(text: str, unit: str, min_words: int) -> Iterator[tuple[list[str], in
             yield words, m.start(), m.end()
 
 
-def _passages(text: str, min_words: int) -> Iterator[tuple[list[str], int, int]]:
-    """(sentences, start, end) of every passage: whole sentences until there are enough words."""
-    begins, ends, said, counts = [], [], [], []
+def _passages(text: str, min_words: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(normalised sentences, their first and last place, the last sentence of the passage each begins; -1: none)."""
+    said, counts, begins, ends = [], [], [], []
     at = 0
     for m in [*BORDER.finditer(text), None]:
         to = m.start() if m else len(text)
-        words = WORD.findall(text, at, to)
+        words = text[at:to].encode().lower().split()  # of bytes: A-Z alone, and the six characters of SPACES
         if words:
-            first = text.index(words[0], at) if at == 0 else at
-            begins.append(first)
-            ends.append(to)
-            said.append(" ".join(words))
+            said.append(b" ".join(words))
             counts.append(len(words))
+            begins.append(at)
+            ends.append(to)
         at = m.end() if m else to
-    if ends:
-        ends[-1] = begins[-1] + len(text[begins[-1] :].rstrip(SPACES))
-    last = -1
-    inside = 0
-    for k in range(len(said)):
-        while inside < min_words and last + 1 < len(said):
-            last += 1
-            inside += counts[last]
-        if inside < min_words:
-            return
-        yield said[k : last + 1], begins[k], ends[last]
-        inside -= counts[k]
+    if said:  # white space that is no border stands at both ends of the text alone
+        begins[0] += len(text[begins[0] : ends[0]]) - len(text[begins[0] : ends[0]].lstrip(SPACES))
+        ends[-1] = begins[-1] + len(text[begins[-1] : ends[-1]].rstrip(SPACES))
+    so_far = np.cumsum([0, *counts])
+    last = np.searchsorted(so_far, so_far[:-1] + min_words) - 1
+    return said, np.array(begins, np.int32), np.array(ends, np.int32), np.where(last < len(said), last, -1)
+
+
+def _columns(text: str, unit: str, least: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(16 bytes of digest, start, end) of every unit of a text."""
+    if unit == "passage":
+        said, begins, ends, last = _passages(text, least)
+        first = np.flatnonzero(last >= 0)
+        keys = [DIGEST(b" ".join(said[k : to + 1])) for k, to in zip(first.tolist(), last[first].tolist())]
+        return b"".join(keys), begins[first], ends[last[first]]
+    found = list(_units(text, unit, least))
+    keys = [DIGEST(" ".join(words).encode().lower()) for words, _, _ in found]
+    return b"".join(keys), *(np.array([f[i] for f in found], np.int32) for i in (1, 2))
 
 
 def unit_digests(docs: DataFrame, unit: str = "passage", min_words: int | None = None) -> DataFrame:
@@ -77,15 +90,15 @@ def unit_digests(docs: DataFrame, unit: str = "passage", min_words: int | None =
     least = min_words if min_words is not None else PASSAGE_WORDS if unit == "passage" else MIN_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            rows: list[tuple] = []
-            for doc, text, body in zip(*(c.to_pylist() for c in batch.columns)):
-                for words, start, end in _passages(text, least) if unit == "passage" else _units(text, unit, least):
-                    key = xxhash.xxh3_128_digest(" ".join(words).translate(LOWER).encode())
-                    rows.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), doc, body, start, end))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
-
-    names, kinds = ["h1", "h2", "doc", "body", "start", "end"], [pa.int64()] * 4 + [pa.int32()] * 2
+        for batch in pieces(batches, "text", PIECE):
+            made = [_columns(text, unit, least) for text in batch.column(1).to_pylist()]
+            n = [len(start) for _, start, _ in made]
+            digests = np.frombuffer(b"".join(k for k, _, _ in made), ">i8").reshape(-1, 2).astype(np.int64)
+            of = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n)) for i in (0, 2)]
+            at = [pa.array(np.concatenate([m[i] for m in made])) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), *of, *at], names)
+
+    names = ["h1", "h2", "doc", "body", "start", "end"]
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     texts = texts.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("body"))
     return texts.mapInArrow(run, "h1 long, h2 long, doc long, body long, start int, end int")
@@ -102,7 +115,7 @@ def cut_spans(docs: DataFrame, unit: str = "passage", min_words: int | None = No
     place = F.struct("doc", "body", "start")
     firsts = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     shared = written(firsts.filter("n > 1").drop("n"), "unit-firsts")
-    small = sized(shared)
+    small = sized(shared, FEW)
     met = units.join(small, ["h1", "h2"]) if small is not shared else spread_join(units, shared, ["h1", "h2"], F.col("doc"), SALTS)
     later = met.filter(place > F.col("first")).select("doc", "body", "start", "end").distinct()
     so_far = Window.partitionBy("doc", "body").orderBy("start", "end")
