@@ -19,7 +19,7 @@ from clipweave.plans.fold import _fresh, ordered_fold
 from clipweave.plans.frames import plain_strings
 from clipweave.plans.nearest import BLOCK, GROUP_ROWS, POOL_VALUES, TILE, best_matches
 from clipweave.plans.scan import neighbour, number_rows, prefix_scan, running_sum
-from clipweave.session import setting
+from clipweave.session import saved, setting
 
 #: clusters of a group that one task joins to the end; more are joined in rounds first, with the same result
 EXACT_LINES = 4096
@@ -218,18 +218,16 @@ def linkage_tree(units: DataFrame, keys: list[str], most: int) -> DataFrame:
     round all mutual neighbours merge; only the merged clusters and those whose neighbour merged
     search again, as average linkage brings nobody closer than its nearest was.
     """
-    from clipweave.session import cut
-
-    clusters, tree = cut(units), []
+    clusters, tree = saved(units), []
     kind = units.schema["ord"].dataType
     near, search = None, clusters
     while True:
-        busy = cut(clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > most).drop("_m"))
+        busy = saved(clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > most).drop("_m"))
         if not busy.limit(1).count():
             break
         pool = clusters.join(busy, keys, "left_semi")
         found = nearest_in_tiles(search.join(busy, keys, "left_semi"), pool, keys)
-        near = cut(found if near is None else near.join(busy, keys, "left_semi").unionByName(found))
+        near = saved(found if near is None else near.join(busy, keys, "left_semi").unionByName(found))
         back = near.select(*keys, F.col("ord").alias("parent"), F.col("parent").alias("ord"))
         pairs = near.join(back, [*keys, "ord", "parent"]).filter("parent < ord")
         # rounding may leave a group without a mutual pair: its closest one merges
@@ -237,13 +235,13 @@ def linkage_tree(units: DataFrame, keys: list[str], most: int) -> DataFrame:
         best = best.join(pairs.select(*keys).distinct(), keys, "left_anti").select(
             *keys, F.greatest("b.ord", "b.parent").alias("ord"), F.least("b.ord", "b.parent").alias("parent"), "b.sim"
         )
-        pairs = cut(pairs.unionByName(best).select(*keys, "ord", "parent", (1 - F.col("sim")).alias("h")))
+        pairs = saved(pairs.unionByName(best).select(*keys, "ord", "parent", (1 - F.col("sim")).alias("h")))
         tree.append(pairs)
         joined = clusters.join(pairs, [*keys, "ord"], "left").withColumn("ord", F.coalesce("parent", "ord"))
-        clusters = cut(joined.groupBy(*keys, "ord").agg(vector_sum("s").alias("s"), F.sum("n").alias("n")))
+        clusters = saved(joined.groupBy(*keys, "ord").agg(vector_sum("s").alias("s"), F.sum("n").alias("n")))
         moved = pairs.select(*keys, F.explode(F.array("ord", "parent")).alias("ord"))
         lost = near.join(moved.withColumnRenamed("ord", "parent"), [*keys, "parent"], "left_semi").select(*keys, "ord")
-        again = cut(moved.union(lost).distinct())
+        again = saved(moved.union(lost).distinct())
         near = near.join(again, [*keys, "ord"], "left_anti")
         search = clusters.join(again, [*keys, "ord"], "left_semi")
         gc.collect()  # lets Spark drop the files of the rounds before

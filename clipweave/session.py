@@ -60,3 +60,10 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def saved(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write rows as Parquet in the shared folder and read them back: like ``cut``, but computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
