@@ -26,7 +26,7 @@ from clipweave.llm.common import lower_ascii, sized, written
 #: words of a shingle
 SHINGLE = 5
 #: share of an item's shingles that a document must hold
-CONTAINMENT = 0.8
+CONTAINMENT = 0.75
 #: common shingles from which a sketch is sure enough: 0.22 ^ 8 is under 6e-6
 SURE = 8
 

@@ -189,19 +189,19 @@ def components(links: DataFrame) -> DataFrame:
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate links of sorted (key, i, j) groups; a group has at most two blocks of nodes.
 
-    A pair is a candidate if the halved hashes, which may merge a few shingles, leave it possible.
-    Clear pairs join components here, so further pairs between those are not compared.
+    Whole hashes are compared, as the check after it does, so every pair found here is a link: its
+    nodes join components at once, and further pairs between those are not compared.
     """
 
     def links(group: pd.DataFrame) -> list[tuple[int, int]]:
         nodes, comp, block = group["node"].to_numpy(), group["comp"].to_numpy().copy(), group["block"].to_numpy()
-        sets = list(group["half"])
+        sets = list(group["shingles"])
         sizes = np.array([len(s) for s in sets])
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         mark, found = np.zeros(ids.max() + 1, np.int32), []
         for x in range(len(nodes) - 1):
-            able = (comp[x + 1 :] != comp[x]) & (4 * np.minimum(sizes[x], sizes[x + 1 :]) + 8 >= 3 * np.maximum(sizes[x], sizes[x + 1 :]))
+            able = (comp[x + 1 :] != comp[x]) & (100 * np.minimum(sizes[x], sizes[x + 1 :]) >= SIMILARITY * np.maximum(sizes[x], sizes[x + 1 :]))
             if group["i"].iat[0] != group["j"].iat[0]:
                 able &= block[x + 1 :] != block[x]
             if not able.any():
@@ -211,11 +211,10 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = np.add.reduceat(mark[ids[starts[x + 1] :]], starts[x + 1 :] - starts[x + 1])
             mark[own] = 0
             union = sizes[x] + sizes[x + 1 :] - common
-            for y in np.flatnonzero(able & (100 * (common + 2) >= SIMILARITY * (union - 2))) + x + 1:
+            for y in np.flatnonzero(able & (100 * common >= SIMILARITY * union)) + x + 1:
                 if comp[y] != comp[x]:
                     found.append((int(nodes[x]), int(nodes[y])))
-                    if 100 * (common[y - x - 1] - 2) >= SIMILARITY * (union[y - x - 1] + 2):
-                        comp[comp == comp[y]] = comp[x]
+                    comp[comp == comp[y]] = comp[x]
         return found
 
     rest: pd.DataFrame | None = None
@@ -248,7 +247,7 @@ def unsettled_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> D
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
     # rows of one node are few: one per band
-    rows = rows.join(sets.select("node", F.array_distinct(F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int"))).alias("half")), "node")
+    rows = rows.join(sets.select("node", "shingles"), "node")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_links, "a long, b long").distinct()
 
 

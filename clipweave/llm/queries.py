@@ -113,7 +113,7 @@ dw AS (SELECT DISTINCT doc_id, string_split({ASCII.format("array_to_string(" + W
 g AS (SELECT DISTINCT doc_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g
       FROM (SELECT DISTINCT k FROM s), dw, unnest(range(1, len(w) - k + 2)) u(p) WHERE len(w) >= k)
 SELECT doc_id, item_id, any_value(n)::BIGINT AS n_item_shingles, count(*)::BIGINT AS n_shared
-FROM g JOIN s USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 1000 * count(*) >= 800 * any_value(n)
+FROM g JOIN s USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 1000 * count(*) >= 750 * any_value(n)
 """
 
 

@@ -83,11 +83,31 @@ def test_blocks_of_unsettled_buckets():
     import pandas as pd
 
     sets = {1: range(100), 2: range(10, 110), 3: range(500, 600), 4: range(505, 605)}
-    rows = pd.DataFrame([(7, 0, 0, n, n, 0, np.array(list(s), np.int32)) for n, s in sets.items()], columns=["key", "i", "j", "node", "comp", "block", "half"])
+    rows = pd.DataFrame([(7, 0, 0, n, n, 0, np.array(list(s), np.int64)) for n, s in sets.items()], columns=["key", "i", "j", "node", "comp", "block", "shingles"])
     out = [tuple(r.values()) for b in minhash._block_links(iter([pa.RecordBatch.from_pandas(rows[:2]), pa.RecordBatch.from_pandas(rows[2:])])) for r in b.to_pylist()]
     assert out == [(1, 2), (3, 4)]
 
 
+def test_blocks_of_large_sets_compare_whole_hashes():
+    """Sets at exactly 75 % and one shingle below, and sets whose hashes agree in their upper halves only."""
+    import numpy as np
+    import pandas as pd
+
+    n = 600_000
+    spread = np.arange(2 * n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashes = spread.view(np.int64)
+    base = np.arange(n, dtype=np.int64) << 32
+    # 600,000 of 800,000 are common; without the first of them one fewer is
+    sets = {1: hashes[: n + n // 3], 2: hashes[:n], 3: hashes[1 : n], 4: base + 1, 5: base + 2}
+    rows = pd.DataFrame([(7, 0, 0, k, k, 0, s) for k, s in sets.items()], columns=["key", "i", "j", "node", "comp", "block", "shingles"])
+    one_by_one = [rows.iloc[[a, b]] for a, b in ((0, 1), (0, 2), (1, 2), (3, 4))]
+    found = []
+    for k, pair in enumerate(one_by_one):
+        batches = minhash._block_links(iter([pa.RecordBatch.from_pandas(pair.assign(key=k), preserve_index=False)]))
+        found += [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert found == [(1, 2), (2, 3)]
+
+
 def test_line_dedup_keeps_first(spark):
     docs = spark.createDataFrame([(2, "a shared line\nown line of two"), (1, "A SHARED LINE \nshort\nshort\na shared line"), (3, "a shared line\nshort")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.apply(docs).collect()}
